@@ -67,3 +67,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() would also change other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def every(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """df's columns, whatever signs their names hold."""
+    quoted = [c.replace("`", "``") for c in df.columns if c not in but]
+    return [F.col(f"`{c}`") for c in quoted]
