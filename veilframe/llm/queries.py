@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, simhash, token_counts, token_store
+from . import byte_bpe, decontamination, line_dedup, quality, simhash, sql, token_counts, token_store, url_rules
 from .common import scratch_path, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -32,6 +32,32 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_sections(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_out = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), removed_into="n_removed")
+    return cut_out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+#: The rules of the contract.
+URL_RULES = [
+    url_rules.Rule("net", "/", "block"),
+    url_rules.Rule("example.net", "/en/", "allow"),
+    url_rules.Rule("example.com", "/de/", "block"),
+    url_rules.Rule("org", "/fr/", "allow"),
+]
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("quality")
+    f = q["features"]
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *(f[k].alias(k) for k in base), q["base_failed"].alias("base_failed"), q["kept"].alias("kept"), F.array_join(q["failed"], ",").alias("failed"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,10 +72,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_url_rules": op3_url_rules,
+    "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": sql.LINE_DEDUP,
+    "op3_url_rules": sql.URL_RULES,
+    "op4_quality": sql.QUALITY,
+    "op10_decontamination": sql.DECONTAMINATION,
+}
