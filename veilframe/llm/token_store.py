@@ -19,10 +19,12 @@ stored; only ``doc_id`` and ``text`` are read; an empty table gives an empty sto
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,35 +40,70 @@ from .common import slices
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_024, 8_192, 64 << 10
 LEVEL = 3
 BLOCK_BYTES, BLOCK_DOCS = 256 << 10, 2_048
-#: Different words whose ids a worker remembers.
-CACHE_WORDS = 250_000
+#: Different pre-tokens whose ids a worker remembers.
+CACHE_PRE_TOKENS = 600_000
+#: Bytes of text encoded at a time.
+ENCODED_BYTES = 8 << 20
 
 BLOCK_SCHEMA = "shard int, block int, tokens_before long, first_doc_id long, last_doc_id long, dict_sha256 string, doc_ids array<long>, frame_starts array<int>, n_tokens array<int>, payload binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write for the UTF-8 bytes of each character up to U+00FF: printable bytes stand for
+    themselves, the others for the characters from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[starts[i]:starts[i] + counts[i]] for i in of, one after the other, and the index after each."""
+    wanted = counts[of]
+    after = np.cumsum(wanted)
+    total = int(after[-1]) if len(after) else 0
+    return flat[np.arange(total) + np.repeat(starts[of] - after + wanted, wanted)], after
+
+
 class WordEncoder:
-    """Ids of many texts at once: each different word is encoded by the tokenizers library once.
+    """Ids of many texts at once by the tokenizers library, each different pre-token once.
 
-    Holds for tokenizers that end a token at white space and drop it; ids of a text are then those of its words in turn.
-    Only space, tab, newline and carriage return split here; what else is white space stays within a word for the library.
+    Where a text is of Latin-1 characters alone, without odd white space, lower-casing, normalising and pre-tokenising are done for
+    its different words at a time (normalising changes nothing then) and the library's BPE model gets the pre-tokens. Any other text,
+    and any text if the tokenizer is not of that make (``_MAKE``), goes through the library whole. Special tokens' names in a text are ordinary text.
     """
 
+    _MAKE = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "split": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    }
+    _PRE_TOKENS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+    #: Beyond Latin-1, no-break space, and white space other than space, tab, newline and carriage return.
+    _ODD = r"[^\x00-\x08\t\n\r\x0e-\x1b -\x7f\x{a1}-\x{ff}]"
+
     def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.encode_special_tokens = True
+        with open(tokenizer_path) as text:
+            made = json.load(text)
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.known_make = made.get("normalizer") == self._MAKE["normalizer"] and steps[0].get("pattern") == self._MAKE["split"] and made["model"]["type"] == "BPE"
+        self.letters = _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.starts, self.counts, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
-    def _learn(self, words: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, pre_tokens: list[str]) -> None:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        ids = [[t.id for t in tokenize(x.translate(letters))] for x in pre_tokens]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-        have, need = len(self.place), len(self.place) + len(words)
+        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
+        have, need = len(self.place), len(self.place) + len(ids)
         if need > len(self.counts):
             self.counts, self.starts = np.resize(self.counts, 2 * need), np.resize(self.starts, 2 * need)
         if self.used + len(new) > len(self.flat):
@@ -75,27 +112,36 @@ class WordEncoder:
         self.starts[have:need] = self.used + np.cumsum(counts) - counts
         self.flat[self.used : self.used + len(new)] = new
         self.used += len(new)
-        self.place.update(zip(words, range(have, need)))
+        self.place.update(zip(pre_tokens, range(have, need)))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and the index after each text's last."""
-        spaced = pc.fill_null(texts, "")
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for white in "\n\t\r":
-            spaced = pc.replace_substring(spaced, white, " ")
-        split = pc.split_pattern(spaced, " ")
-        ends = split.offsets.to_numpy()[1:].astype(np.int64)
+            texts = pc.replace_substring(texts, white, " ")
+        split = pc.split_pattern(texts, " ")
         words = split.values.dictionary_encode()
-        different = words.dictionary.to_pylist()
-        if len(self.place) + len(different) > CACHE_WORDS:
+        pieces = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words.dictionary), self._PRE_TOKENS, "\\1 "), " ")
+        coded = pieces.values.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        if len(self.place) + len(different) > CACHE_PRE_TOKENS:
             self._forget()
-        if new := [w for w in different if w not in self.place]:
+        if new := [x for x in different if x not in self.place]:
             self._learn(new)
-        of = np.fromiter(map(self.place.__getitem__, different), np.int64, len(different))[words.indices.to_numpy()]
-        counts = self.counts[of]
-        after = np.cumsum(counts)
-        total = int(after[-1]) if len(after) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.starts[of] - after + counts, counts)]
-        return ids, np.concatenate([[0], after])[ends]
+        of = np.fromiter(map(self.place.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy()]
+        flat, after = _gather(self.flat, self.starts, self.counts, of)
+        borders = np.concatenate([[0], after])[pieces.offsets.to_numpy()]  # of each word's ids
+        ids, after = _gather(flat, borders[:-1], np.diff(borders), words.indices.to_numpy().astype(np.int64))
+        return ids, np.concatenate([[0], after])[split.offsets.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; of a null one none."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self._ODD) if self.known_make else pa.array([True] * len(texts), pa.bool_())
+        ids, borders = self._plain(pc.if_else(odd, "", texts))
+        for i, whole in enumerate(odd.to_pylist()):
+            if whole:
+                yield np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            else:
+                yield ids[borders[i] : borders[i + 1]]
 
 
 @lru_cache(maxsize=1)
@@ -104,17 +150,15 @@ def word_encoder(tokenizer_path: str) -> WordEncoder:
 
 
 def _ids_of(encoder: WordEncoder, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
-    ids, ends = encoder.encode(texts)
-    first = 0
-    for end in ends.tolist():
-        yield np.append(ids[first:end], np.uint32(end_id))
-        first = end
+    return (np.append(ids, np.uint32(end_id)) for ids in encoder.encode(texts))
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes: int) -> bytes:
-    """At most SAMPLE_DOCS x SAMPLE_CHARS characters reach the driver, however large docs is. Too few texts to train on: no dictionary (empty)."""
-    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS))
-    sample = [x["text"] for x in short.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()]
+    """However large docs is, at most SAMPLE_DOCS numbers and then SAMPLE_DOCS x SAMPLE_CHARS characters reach the driver. Too few texts to train on: no dictionary (empty)."""
+    hashed = F.xxhash64("doc_id")
+    least = docs.groupBy(F.pmod(hashed, F.lit(SAMPLE_DOCS))).agg(F.min(hashed).alias("least")).collect()
+    chosen = docs.filter(hashed.isin([x["least"] for x in least]) & F.length("text").between(1, SAMPLE_CHARS))
+    sample = sorted(x["text"] for x in chosen.select("text").limit(SAMPLE_DOCS).collect())
     arrays = [ids.astype(f"<u{id_bytes}").tobytes() for ids in _ids_of(WordEncoder(tokenizer_path), pa.array(sample, pa.string()), end_id)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays, level=LEVEL).as_bytes()
@@ -146,7 +190,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, types)], names=names)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODED_BYTES):
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), _ids_of(encoder, part.column("text"), end_id)):
                     frames.append(compress(ids.astype(f"<u{id_bytes}").tobytes()))
                     doc_ids.append(doc_id)
