@@ -29,11 +29,13 @@ from .common import cut, slices, with_fields
 from .sampling import chosen_ids
 
 #: The sample: at most so many rows of either label, of at most so many characters.
-ROWS_PER_LABEL, SAMPLE_CHARS = 3_072, 32_768
+ROWS_PER_LABEL, SAMPLE_CHARS = 4_096, 32_768
 #: Terms: beginnings of these lengths; toxic rows that hold one at least, by how much it is more frequent there at least, t statistic at least; how many at most.
 BEGINNINGS = (4, 5, 6, 7, 8)
-MIN_ROWS, MIN_RATIO, MIN_T, MAX_TERMS = 4, 3.0, 3.0, 400
-FIT_STEPS, PENALTY = 600, 2e-4
+MIN_ROWS, MIN_RATIO, MIN_T, MAX_TERMS = 4, 1.5, 3.0, 400
+#: A term's share of a text counts up to this when terms are chosen: else a few short texts would decide.
+MAX_SHARE = 0.02
+FIT_STEPS, PENALTY = 1500, 5e-5
 CUT_SCORE = 0.3
 #: Least hashes by which rows of the sample that resemble each other are told.
 HASHES = 4
@@ -156,7 +158,7 @@ def _candidates(sample: DataFrame, toxic: list) -> list[str]:
                     n = max(1, len(text.split()))
                     found = terms_of(text)
                     terms += found
-                    shares += [x / n for x in found.values()]
+                    shares += [min(x / n, MAX_SHARE) for x in found.values()]
                     weights += [weight] * len(found)
                     labels += [doc_id in bad] * len(found)
                 yield pa.record_batch([pa.array(terms, pa.string()), pa.array(shares, pa.float64()), pa.array(weights, pa.float64()), pa.array(labels, pa.bool_())], names=["term", "x", "w", "toxic"])
