@@ -3,7 +3,7 @@
 Method: overlapping chunk encoding. A text longer than ``chunk_chars`` is cut into chunks that overlap; each chunk is
 pre-tokenised by itself, in parallel with the others. Matching is a function of what follows a position alone, so where two
 neighbouring chunks share a boundary they agree from there on: the first shared boundary is the seam. The text between
-seams is then encoded piece by piece. A text with no shared boundary in some overlap (one run of letters longer than
+seams is then encoded piece by piece (with what follows in view, as the pattern looks ahead). A text with no shared boundary in some overlap (one run of letters longer than
 the overlap, say) is encoded as a single chunk, so the result never depends on the chunk size. Decoding concatenates the bytes of
 the ids.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, takewhile
 
 import pyarrow as pa
 import regex
@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, with_fields
+from .common import map_arrow, slices, with_fields
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
@@ -51,8 +51,9 @@ class PieceEncoder:
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
+    def encode(self, text: str, until: int | None = None) -> list[int]:
+        """Ids of text, or of its pieces that begin before until; what follows there still decides where the last one ends."""
+        pieces = self.pieces(text) if until is None else [m.group() for m in takewhile(lambda m: m.start() < until, self.pattern.finditer(text))]
         known = self.known
         try:
             return list(chain.from_iterable(map(known.__getitem__, pieces)))
@@ -79,18 +80,21 @@ def encoder(ranks_path: str, pattern: str) -> PieceEncoder:
 
 
 def _with_ids(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """docs, whose last column is text, with ids in its place."""
-    kept = docs.columns[:-1]
-    schema = with_fields(docs.drop("text"), "ids array<int>")
+    """docs with ids in place of the columns text and until (if there is one; see PieceEncoder.encode)."""
+    kept = [c for c in docs.columns if c not in ("text", "until")]
+    schema = with_fields(docs.select(*kept), "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern).encode
+        bpe = encoder(ranks_path, pattern)
+        encode = bpe.encode
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = [encode(text) if text else [] for text in part.column("text").to_pylist()]
+                untils = part.column("until").to_pylist() if "until" in part.schema.names else [None] * part.num_rows
+                ids = [encode(text, until) if text else [] for text, until in zip(part.column("text").to_pylist(), untils)]
                 yield pa.record_batch([*(part.column(k) for k in kept), pa.array(ids, pa.list_(pa.int32()))], names=[*kept, "ids"])
+        bpe.known.clear()
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _chunks(long: DataFrame, chunk_chars: int, overlap_chars: int) -> DataFrame:
@@ -119,7 +123,7 @@ def _seams(chunks: DataFrame, ranks_path: str, pattern: str, chunk_chars: int, o
                     tails.append([base + b for b in found if chunk_chars <= b <= trusted])
                 yield pa.record_batch([*(part.column(n) for n in names), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*names, "head", "tail"])
 
-    return chunks.mapInArrow(run, schema)
+    return map_arrow(chunks, run, schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
@@ -136,10 +140,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CH
     seams = seams.withColumn("entry", entry).withColumn("synced", F.min(F.col("entry").isNotNull()).over(whole))
     seams = seams.withColumn("until", F.lead("entry").over(whole.orderBy("k")))
 
-    base = F.col("k") * chunk_chars
-    owned = F.when(F.col("until").isNull(), F.expr(f"substring(text, entry - k * {chunk_chars} + 1)")).otherwise(F.substring("text", F.col("entry") - base + 1, F.col("until") - F.col("entry")))
+    # From a seam on; what follows the next seam comes along, as it decides where the last piece ends.
+    owned = F.expr(f"substring(text, entry - k * {chunk_chars} + 1)")
     again = F.expr("explode(sequence(1L, copies))")
-    pieces = seams.filter("synced").select("doc_id", "digest", "copies", "k", owned.alias("text"))
+    pieces = seams.filter("synced").select("doc_id", "digest", "copies", "k", owned.alias("text"), (F.col("until") - F.col("entry")).alias("until"))
     in_order = F.array_sort(F.collect_list(F.struct("k", "ids")))
     stitched = _with_ids(pieces, ranks_path, pattern).groupBy("doc_id", "digest").agg(F.max("copies").alias("copies"), F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
     stitched = stitched.select("doc_id", "ids", again.alias("copy")).drop("copy")
@@ -163,4 +167,4 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id"), column, raw], names=["doc_id", "ids", "bytes"])
 
     encoded = encoded.select("doc_id", "ids")
-    return encoded.mapInArrow(run, with_fields(encoded, "bytes binary"))
+    return map_arrow(encoded, run, with_fields(encoded, "bytes binary"))

@@ -28,7 +28,9 @@ SHARE = 20
 MAX_WINDOWS = 1_000_000
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_OR_NOT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for a text as it is, with A-Z in words.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD_OR_NOT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -123,7 +125,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **settings: int) -> Data
     """docs with the hit words, and what separates them from the next word, cut out of text."""
 
     def without(parts: Column, s: Column) -> Column:
-        skip = F.when(parts[0].rlike(f"^{SEPARATORS}$"), 1).otherwise(0)
+        skip = F.when(parts[0].rlike(f"^{RAW_SEPARATORS}$"), 1).otherwise(0)
         word = lambda i: F.floor((i - skip) / 2).cast("int")
         kept = F.filter(parts, lambda x, i: ~F.exists(s, lambda span: (word(i) >= span["first"]) & (word(i) < span["until"])))
         return F.array_join(kept, "")
