@@ -1,0 +1,109 @@
+"""Files, diffs, whole plans and streams."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilframe.functions import gibberish
+from veilframe.operators.windows import FakeBackend
+from veilframe.plans import Settings, detect, mask, scan
+from veilframe.sources.diffs import additions
+from veilframe.sources.files import read_files, without_blank, write_texts
+from veilframe.streaming import mask_stream, scan_stream
+
+MODEL = gibberish.from_counts({a: {b: 10 for b in gibberish.LETTERS} for a in gibberish.LETTERS}, gibberish.LETTERS)
+SETTINGS = Settings(MODEL, home_directory="/home/jdoe42")
+
+
+def runs_by_hand(diff):
+    runs, current, in_hunk = [], None, False
+    for line in diff.splitlines():
+        if line.startswith("@@"):
+            in_hunk, current = True, None
+        elif in_hunk and line.startswith("+"):
+            if current is None:
+                runs.append(current := [])
+            current.append(line[1:])
+        else:
+            current = None
+    return ["\n".join(r) for r in runs]
+
+
+def test_added_runs(spark):
+    rng = random.Random(9)
+    lines = ["+a", "+", "++b", "-c", " d", "@@ -1 +1 @@", "\\ No newline", "+++ b/x", "+e\x0bf", "+g\r", "+h x"]
+    diffs = {str(i): "\n".join(rng.choices(lines, k=rng.randint(1, 12))) for i in range(300)}
+    got = {}
+    for r in additions(spark.createDataFrame(list(diffs.items()), "filename string, diff_text string")).collect():
+        got.setdefault(r["filename"], {})[r["segment_no"]] = r["text"]
+    for name, diff in diffs.items():
+        assert [got.get(name, {})[k] for k in sorted(got.get(name, {}))] == runs_by_hand(diff), diff
+
+
+def test_an_empty_diff_is_an_error(spark):
+    df = spark.createDataFrame([("f", "")], "filename string, diff_text string")
+    with pytest.raises(Exception, match="no added text: f"):
+        additions(df).collect()
+    assert additions(df, empty_is_error=False).count() == 0
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes("é = 1\r\nx\r".encode())
+    (tmp_path / "b.txt").write_bytes(b" \n")
+    plain = read_files(spark, str(tmp_path))
+    kept = without_blank(plain).select("suffix", "text").collect()
+    assert [tuple(r) for r in kept] == [(".py", "é = 1\nx\n")]
+    raw = read_files(spark, str(tmp_path), universal_newlines=False)
+    assert {r["text"] for r in raw.collect()} == {"é = 1\r\nx\r", " \n"}
+    out = str(tmp_path / "out")
+    write_texts(raw, out)
+    assert spark.read.parquet(out).count() == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        write_texts(raw, out)
+
+
+def texts(spark):
+    rows = [(1, 0, "a.txt", "mail someone@mail.example at 81.2.69.160 in /home/jdoe42/x"), (1, 1, "a.txt", "again someone@mail.example"), (2, 0, "b.txt", "  "), (3, 0, "c.txt", None)]
+    return spark.createDataFrame(rows, "doc_id long, segment_no int, filename string, text string")
+
+
+def test_scan_mask_detect(spark):
+    found = sorted((r["doc_id"], r["segment_no"], r["start"], r["type"], r["text"]) for r in scan(texts(spark), SETTINGS).collect())
+    assert found == [(1, 0, 5, "EMAIL", "someone@mail.example"), (1, 0, 29, "IP_ADDRESS", "81.2.69.160"), (1, 0, 50, "NAME", "jdoe42"), (1, 1, 6, "EMAIL", "someone@mail.example")]
+    masked = {(r["doc_id"], r["segment_no"]): r["masked"] for r in mask(texts(spark), SETTINGS).collect()}
+    assert masked[1, 0] == "mail <EMAIL_MASK> at <IP_ADDRESS_MASK> in /home/<NAME_MASK>/x" and masked[2, 0] == "  " and masked[3, 0] is None
+    assert tuple(detect(texts(spark), SETTINGS).first()) == (4, 1)
+    assert tuple(detect(texts(spark).filter("doc_id = 2"), SETTINGS).first()) == (0, 0)
+    with pytest.raises(ValueError):
+        scan(texts(spark), SETTINGS._replace(key_detector="none"))
+
+
+def test_both_branches_merge(spark):
+    labels = ["O", "B-NAME", "I-NAME"]
+    rules = scan(texts(spark), SETTINGS).count()
+    both = scan(texts(spark), SETTINGS._replace(backend=FakeBackend(labels), window_size=4, window_overlap=1))
+    assert both.count() >= rules
+    order = [(r["start"], r["end"], r["type"]) for r in both.filter("doc_id = 1 AND segment_no = 0").collect()]
+    assert order == sorted(set(order))
+
+
+def test_rule_plans_have_no_shuffle(spark):
+    plan = scan(texts(spark), SETTINGS)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    no_python = scan(texts(spark), SETTINGS._replace(v6=False))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow", no_python)
+
+
+def test_streams(spark, tmp_path):
+    texts(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(texts(spark).schema).parquet(str(tmp_path / "in"))
+    query = scan_stream(stream, SETTINGS).writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("found").count() == scan(texts(spark), SETTINGS).count()
+    query = mask_stream(stream, SETTINGS).writeStream.format("memory").queryName("masked").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("masked").filter(F.col("masked").contains("EMAIL_MASK")).count() == 2
+    with pytest.raises(ValueError):
+        scan_stream(stream, SETTINGS._replace(backend=FakeBackend(["O"])))
