@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session keeps Spark's default: that one lets an executor's tasks hold some
+#: hundreds of MB outside its heap.
+BATCH_BYTES, SPARKS_BATCH_BYTES = 8 << 20, 64 << 20
 #: Text bytes that a Python worker handles at a time; bounds what it holds besides the Arrow batch itself.
 SLICE_BYTES = 4 << 20
 
@@ -46,8 +52,27 @@ def with_fields(df: DataFrame, fields: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
 
 
+def give_back_memory() -> None:
+    """Returns what a Python worker has freed to the system: workers stay, idle, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow(run, schema) with batches of at most BATCH_BYTES, unless the session says otherwise, whose workers give back memory at their end."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in (str(SPARKS_BATCH_BYTES), f"{SPARKS_BATCH_BYTES}b"):
+        conf.set(key, str(BATCH_BYTES))
+
+    def then_give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back_memory()
+
+    return df.mapInArrow(then_give_back, schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, with_fields
+from .common import map_arrow, slices, with_fields
 from .sampling import chosen_ids
 
 #: The sample: at most so many rows of each language, of at most so many characters.
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 predicted, score, rejected = _verdicts(part.column("text"), model)
                 yield pa.record_batch([part.column("doc_id"), pa.array(predicted, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, with_fields(docs.select("doc_id"), "lang_pred string, score double, rejected boolean"))
+    return map_arrow(docs, run, with_fields(docs.select("doc_id"), "lang_pred string, score double, rejected boolean"))
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -205,4 +205,4 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
             for part in slices(batch, batch.schema.names[place]):
                 yield part.filter(pa.array(~_verdicts(part.column(place), model)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, slices, with_fields
+from .common import cut, fresh, map_arrow, slices, with_fields
 from .graph import connected_components
 
 SHINGLE_WORDS, DISTANCE_BITS, SEGMENTS = 3, 3, 8
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 yield pa.record_batch([part.column("doc_id"), pa.array([fingerprint(x or b"", shingle) for x in texts], pa.int64())], names=["doc_id", "fp"])
 
-    return docs.mapInArrow(run, with_fields(docs.select("doc_id"), "fp long"))
+    return map_arrow(docs, run, with_fields(docs.select("doc_id"), "fp long"))
 
 
 def _keys(fp: Column, segments: int, distance: int) -> Column:

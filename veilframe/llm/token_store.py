@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 
 #: The dictionary's sample: this many documents of at most so many characters (those with the least hash of doc_id); its size.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_024, 8_192, 64 << 10
@@ -204,7 +204,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
             yield closed()
 
     ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    map_arrow(ordered, blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     head = spark.createDataFrame([(digest, id_bytes, end_id, bytearray(dictionary))], "sha256 string, id_bytes int, end_id int, dictionary binary")
     head.coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -254,4 +254,4 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> Da
                     columns = [pa.array(x, t) for x, t in zip(zip(*out), types)]
                     yield pa.record_batch([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(np.int32)))], names=names)
 
-    return inputs.mapInArrow(frames, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return map_arrow(inputs, frames, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")

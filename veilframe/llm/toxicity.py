@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, with_fields
+from .common import cut, map_arrow, slices, with_fields
 from .sampling import chosen_ids
 
 #: The sample: at most so many rows of either label, of at most so many characters.
@@ -120,7 +120,7 @@ def _densities(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id"), pa.array([density(x) if x else 0.0 for x in part.column("text").to_pylist()], pa.float64())], names=["doc_id", "density"])
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, with_fields(docs.select("doc_id"), "density double"))
+    return map_arrow(docs, run, with_fields(docs.select("doc_id"), "density double"))
 
 
 def _shares(sample: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _candidates(sample: DataFrame, toxic: list) -> list[str]:
     n_bad, n_good = totals["bad"], totals["all"] - totals["bad"]
     x, w, is_bad = F.col("x"), F.col("w"), F.col("toxic")
     part = lambda value, which: F.sum(F.when(which, value).otherwise(0.0))
-    sums = sample.mapInArrow(run, "term string, x double, w double, toxic boolean").groupBy("term").agg(
+    sums = map_arrow(sample, run, "term string, x double, w double, toxic boolean").groupBy("term").agg(
         part(w, is_bad).alias("rows"), (part(w * x, is_bad) / n_bad).alias("bad"), (part(w * x * x, is_bad) / n_bad).alias("bad2"), (part(w * x, ~is_bad) / n_good).alias("good"), (part(w * x * x, ~is_bad) / n_good).alias("good2")
     )
     t = (F.col("bad") - F.col("good")) / F.sqrt((F.col("bad2") - F.col("bad") ** 2) / n_bad + (F.col("good2") - F.col("good") ** 2) / n_good + 1e-12)
@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LAB
                 columns = [pa.array([[a for a, _ in row] for row in found], pa.list_(pa.int32())), pa.array([[b for _, b in row] for row in found], pa.list_(pa.float64()))]
                 yield pa.record_batch([part.column("doc_id"), part.column("weight"), *columns], names=["doc_id", "weight", "at", "x"])
 
-    rows = sorted(sample.mapInArrow(counts, with_fields(sample.select("doc_id", "weight"), "at array<int>, x array<double>")).collect(), key=lambda r: r["doc_id"])
+    rows = sorted(map_arrow(sample, counts, with_fields(sample.select("doc_id", "weight"), "at array<int>, x array<double>")).collect(), key=lambda r: r["doc_id"])
     x = np.zeros((len(rows), len(terms)), np.float32)
     for i, row in enumerate(rows):
         x[i, row["at"]] = np.array(row["x"], np.float32) * 100
@@ -254,4 +254,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, below: float = CUT_SCORE) -> D
                 found = [density(x) if x else 0.0 for x in part.column(place).to_pylist()]
                 yield part.filter(pa.array([x / (x + lexicon.scale) < below for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
