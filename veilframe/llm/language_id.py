@@ -36,7 +36,7 @@ EPOCHS, BATCH, RATE, SEED = 12, 32, 0.5, 7
 #: One row in so many of the sample calibrates.
 CALIBRATE_EVERY = 4
 #: Share of the calibrating rows with a right prediction that may be rejected, and the most a score must reach.
-REJECTED_SHARE, MAX_THRESHOLD = 0.0, 0.5
+REJECTED_SHARE, MAX_THRESHOLD = 0.0, 0.3
 #: Subwords looked up at a time.
 LOOKED_UP = 1 << 17
 UNDETERMINED = "und"
