@@ -41,7 +41,7 @@ def test_predictions_combine(spark, batch):
 
     df = spark.createDataFrame([(i, 0, x) for i, x in ids.items()], "doc_id long, segment_no int, input_ids array<int>")
     predicted = windows.predict(windows.token_windows(df, 8, 3), Uneven(), 101, 102, batch)
-    combined = windows.combine(predicted, df.select("doc_id", "segment_no", F.size("input_ids").alias("n_tokens")))
+    combined = windows.combine(predicted, df.select("doc_id", "segment_no", F.size("input_ids").alias("n_tokens")), 5)
     expected = {}
     for i, x in ids.items():
         total = np.zeros((len(x), 5))
@@ -49,7 +49,7 @@ def test_predictions_combine(spark, batch):
             part = x[k : k + 8]
             total[k : k + len(part)] += Uneven().predict([[101, *part, 102]])[0][1:-1]
         expected |= {(i, a, b): v for (a, b), v in np.ndenumerate(total / total.sum(1, keepdims=True))}
-    got = {(r["doc_id"], r["pos"], r["label_no"]): r["p"] for r in combined.collect()}
+    got = {(r["doc_id"], r["pos"], k): p for r in combined.collect() for k, p in enumerate(r["probs"])}
     assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
     best = {(r["doc_id"], r["pos"]): r["label"] for r in windows.best_labels(combined, LABELS).collect()}
     for i, x in ids.items():

@@ -137,19 +137,20 @@ def predict(windows: DataFrame, backend: Backend, first: int, last: int, batch_s
     return rows.mapInArrow(run, schema)
 
 
-def combine(predicted: DataFrame, tokens: DataFrame) -> DataFrame:
-    """doc_id, segment_no, pos, label_no, p: the windows' probabilities summed at each token and divided by the token's sum. tokens:
-    n_tokens of each text; positions from it on, which padding may leave, are dropped."""
-    at = predicted.select(*KEYS, "offset", F.posexplode("probs").alias("i", "row")).select(*KEYS, (F.col("offset") + F.col("i")).alias("pos"), F.posexplode("row").alias("label_no", "p"))
-    summed = at.groupBy(*KEYS, "pos", "label_no").agg(F.sum("p").alias("p")).join(tokens.select(*KEYS, "n_tokens"), KEYS).filter("pos < n_tokens")
-    return summed.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(*KEYS, "pos"))).select(*KEYS, "pos", "label_no", "p")
+def combine(predicted: DataFrame, tokens: DataFrame, n_labels: int) -> DataFrame:
+    """doc_id, segment_no, pos and probs: the windows' probabilities summed at each token, each by the token's sum. tokens: n_tokens of each text;
+    positions from it on, which padding may leave, are dropped. A row a token and window is shuffled, after partial sums."""
+    at = predicted.select(*KEYS, "offset", F.posexplode("probs").alias("i", "row")).select(*KEYS, (F.col("offset") + F.col("i")).alias("pos"), "row")
+    sums = at.groupBy(*KEYS, "pos").agg(*(F.sum(F.get("row", F.lit(k))).alias(f"p{k}") for k in range(n_labels)))
+    kept = sums.join(tokens.select(*KEYS, "n_tokens"), KEYS).filter("pos < n_tokens")
+    whole = sum((F.col(f"p{k}") for k in range(1, n_labels)), F.col("p0"))
+    return kept.select(*KEYS, "pos", F.array(*(F.col(f"p{k}") / whole for k in range(n_labels))).alias("probs"))
 
 
 def best_labels(combined: DataFrame, labels: Sequence[str]) -> DataFrame:
     """doc_id, segment_no, pos, label and p of the most probable label of each token; of equal ones the first."""
-    best = combined.groupBy(*KEYS, "pos").agg(F.max_by("label_no", F.struct("p", -F.col("label_no"))).alias("label_no"), F.max("p").alias("p"))
-    names = F.array(*map(F.lit, labels))
-    return best.select(*KEYS, "pos", F.get(names, F.col("label_no")).alias("label"), "p")
+    best = F.array_max("probs")
+    return combined.select(*KEYS, "pos", F.get(F.array(*map(F.lit, labels)), F.array_position("probs", best).cast("int") - 1).alias("label"), best.alias("p"))
 
 
 def entities(tagged: DataFrame) -> DataFrame:
@@ -195,5 +196,5 @@ def model_findings(texts: DataFrame, backend: Backend, model: BigramModel, token
     """The model branch over texts (doc_id, segment_no, text): tokens, windows, probabilities, labels, entities, findings."""
     tokens = tokenize(texts.select(*KEYS, "text"))
     predicted = predict(token_windows(tokens.select(*KEYS, "input_ids"), window_size, overlap), backend, first, last, batch_size)
-    tagged = best_labels(combine(predicted, tokens.select(*KEYS, F.size("input_ids").alias("n_tokens"))), backend.labels)
+    tagged = best_labels(combine(predicted, tokens.select(*KEYS, F.size("input_ids").alias("n_tokens")), len(backend.labels)), backend.labels)
     return spelled(entities(tagged), tokens, model)

@@ -68,7 +68,7 @@ def key_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def home_name_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = lambda slash: F.concat(F.lit(f"{slash}home{slash}"), F.col("source"))
-    text = F.concat(F.lit("see "), path("/"), F.lit("/x and "), path("\\/"), F.lit(":2 "), F.substring("text", 1, 50))
+    text = F.concat(F.lit("see "), path("/"), F.lit("/x and "), path("\\/"), F.lit(":2 "), F.col("text"))
     return _rows(_table(spark, sf_dir, "documents").withColumn("t", text), rules.home_name_spans(F.col("t"), HOME))
 
 
@@ -78,7 +78,7 @@ def hash_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.md5("text")
-    text = F.concat(F.substring("text", 1, 200), F.when(F.col("doc_id") % 2 == 0, F.lit("\nMD5 sum ")).otherwise("\ntotal "), value, F.lit("\n"), value)
+    text = F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.lit("\nMD5 sum ")).otherwise("\ntotal "), value, F.lit("\n"), value)
     docs = _table(spark, sf_dir, "documents").select("doc_id", text.alias("t"), value.alias("v"))
     return docs.select("doc_id", filters.on_hash_line(F.col("t"), F.col("v")).alias("on_hash_line"))
 
@@ -155,8 +155,7 @@ def mask_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = (F.col("doc_id") % 5).cast("int")
     part = lambda a, b, kind: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(kind).alias("type"))
     findings = F.array(part(7 - i, 12 - i, "NAME"), part(F.lit(9), F.lit(10), "KEY"), part(F.lit(10), 17 + i, "PASSWORD"), part(7 - i, 12 - i, "EMAIL"), part(F.lit(30), F.lit(33), "NAME"), part(F.lit(33), F.lit(36), "IP_ADDRESS"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"))
-    return docs.select("doc_id", masking.mask(F.col("t"), findings).alias("masked"))
+    return _table(spark, sf_dir, "documents").select("doc_id", masking.mask(F.col("text"), findings).alias("masked"))
 
 
 def _branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -208,12 +207,12 @@ def _predicted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def combine_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    combined = windows.combine(*_predicted(spark, sf_dir))
-    return combined.select("doc_id", "pos", "label_no", F.round("p", 9).alias("p"))
+    combined = windows.combine(*_predicted(spark, sf_dir), n_labels=3)
+    return combined.select("doc_id", "pos", F.posexplode("probs").alias("label_no", "p")).withColumn("p", F.round("p", 9))
 
 
 def best_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = windows.best_labels(windows.combine(*_predicted(spark, sf_dir)), ["O", "B-NAME", "I-NAME"])
+    best = windows.best_labels(windows.combine(*_predicted(spark, sf_dir), n_labels=3), ["O", "B-NAME", "I-NAME"])
     return best.select("doc_id", "pos", "label", F.round("p", 9).alias("p"))
 
 

@@ -120,7 +120,7 @@ ORACLES: dict[str, str] = {
     "email_spans": f"WITH {_matches('mail', _EMAIL, _DOCS)} SELECT {_SPAN} FROM mail",
     "email_page_spans": f"WITH {_matches('mail', _EMAIL, _PAGES)} SELECT {_SPAN} FROM mail",
     "home_name_spans": "WITH "
-    + _matches("home", r"(\\?/home\\?/)(src1)()", r"SELECT doc_id, 'see /home/' || source || '/x and \/home\/' || source || ':2 ' || substr(text, 1, 50) AS text FROM documents")
+    + _matches("home", r"(\\?/home\\?/)(src1)()", r"SELECT doc_id, 'see /home/' || source || '/x and \/home\/' || source || ':2 ' || text AS text FROM documents")
     + f" SELECT {_SPAN} FROM home",
     "hash_gate": f"SELECT doc_id, {_hash_count('sha')} > t OR {_hash_count('hash')} > t AS dense FROM (SELECT doc_id, text, CAST(floor((length(text) - length(replace(text, chr(10), ''))) * 0.02) AS BIGINT) AS t FROM documents)",
     "hash_lines": "SELECT doc_id, doc_id % 2 = 0 AS on_hash_line FROM documents",
@@ -159,7 +159,7 @@ m AS (SELECT doc_id, text, CASE WHEN spans IS NULL THEN NULL ELSE {_MASK} END AS
 t AS (SELECT doc_id, CASE WHEN s IS NULL THEN text ELSE s.out || substr(text, s.at + 1) END AS masked FROM m)
 SELECT doc_id, md5(masked) AS masked_md5, CAST(length(masked) AS INTEGER) AS n_chars FROM t""",
     "mask_overlaps": f"""
-WITH g AS (SELECT doc_id, substr(text, 1, 60) AS text, CAST(doc_id % 5 AS INTEGER) AS i FROM documents),
+WITH g AS (SELECT doc_id, text, CAST(doc_id % 5 AS INTEGER) AS i FROM documents),
 p AS (SELECT doc_id, text, i, unnest([{{'n': 1, 'a': 7 - i, 'b': 12 - i, 'kind': 'NAME'}}, {{'n': 2, 'a': 9, 'b': 10, 'kind': 'KEY'}}, {{'n': 3, 'a': 10, 'b': 17 + i, 'kind': 'PASSWORD'}}, {{'n': 4, 'a': 7 - i, 'b': 12 - i, 'kind': 'EMAIL'}}, {{'n': 5, 'a': 30, 'b': 33, 'kind': 'NAME'}}, {{'n': 6, 'a': 33, 'b': 36, 'kind': 'IP_ADDRESS'}}]) AS x FROM g),
 o AS (SELECT doc_id, text, list({{'a': x.a, 'b': x.b, 'kind': x.kind}} ORDER BY x.a, x.n) AS spans FROM p GROUP BY doc_id, text),
 m AS (SELECT doc_id, text, {_MASK} AS s FROM o)
