@@ -107,3 +107,15 @@ def test_streams(spark, tmp_path):
     assert spark.table("masked").filter(F.col("masked").contains("EMAIL_MASK")).count() == 2
     with pytest.raises(ValueError):
         scan_stream(stream, SETTINGS._replace(backend=FakeBackend(["O"])))
+
+
+def test_sql_functions(spark):
+    from veilframe.functions.registry import register
+    from veilframe.operators.rules import email_spans, raw_ip_spans
+
+    assert register(spark) == ["email_spans", "raw_ip_spans"]
+    rows = texts(spark).unionByName(spark.createDataFrame([(9, 0, "z", "é 😀 81.2.69.160 a@b.example, 'c@d.example' \\\"e@f.example\\\"")], texts(spark).schema))
+    rows.createOrReplaceTempView("pii_texts")
+    by_sql = spark.sql("SELECT doc_id, segment_no, email_spans(text) AS a, raw_ip_spans(text) AS b FROM pii_texts").collect()
+    by_column = rows.select("doc_id", "segment_no", email_spans(F.col("text")).alias("a"), raw_ip_spans(F.col("text")).alias("b")).collect()
+    assert sorted(map(str, by_sql)) == sorted(map(str, by_column))
