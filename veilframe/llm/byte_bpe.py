@@ -14,8 +14,8 @@ Defined cases: null text is encoded like an empty one (no ids); rows that repeat
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
 from itertools import chain, takewhile
 
 import pyarrow as pa
@@ -35,19 +35,22 @@ CACHE_PIECES = 150_000
 
 
 class PieceEncoder:
-    """Ids of a text: each match of the pattern is encoded by itself, with the ranks of a tiktoken vocabulary file."""
+    """Ids of a text: each match of the pattern is encoded by itself, with the ranks of a tiktoken vocabulary file. The library's
+    encoder is made when first needed: decoding does without."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
         with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.single = self.encoding._core_bpe.encode_single_piece
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
+        self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.known: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def single(self) -> Callable[[bytes], list[int]]:
+        return tiktoken.Encoding("ranks", pat_str=self.pattern.pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
+
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 

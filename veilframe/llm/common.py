@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 #: Bytes of an Arrow batch between the JVM and Python, where the session keeps Spark's default: that one lets an executor's tasks hold some
 #: hundreds of MB outside its heap.
 BATCH_BYTES, SPARKS_BATCH_BYTES = 8 << 20, 64 << 20
+#: Output batches after which a worker gives back memory.
+GIVE_BACK_EVERY = 16
 #: Text bytes that a Python worker handles at a time; bounds what it holds besides the Arrow batch itself.
 SLICE_BYTES = 4 << 20
 
@@ -68,7 +70,10 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def then_give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for n, batch in enumerate(run(batches), 1):
+                yield batch
+                if not n % GIVE_BACK_EVERY:
+                    give_back_memory()
         finally:
             give_back_memory()
 
