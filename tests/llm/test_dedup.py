@@ -68,6 +68,25 @@ def test_links_are_all_pairs_within_the_distance(spark, distance, segments):
         simhash.links(df, segments, segments)
 
 
+@pytest.mark.parametrize("distance,segments", [(3, 8), (2, 4), (1, 4)])
+def test_crowded_keys_connect_the_same(spark, distance, segments):
+    rng = random.Random(20 + distance)
+    base, prints = rng.getrandbits(64), set()
+    for _ in range(400):
+        x = base
+        for b in rng.sample(range(64), rng.randint(0, 7)):
+            x ^= 1 << b
+        prints.add(x)
+    prints |= {rng.getrandbits(64) for _ in range(20)}
+    rows = list(enumerate(sorted(prints)))
+    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in rows], "rep long, fp long")
+    got = simhash.links(df, distance, segments, crowded=20)
+    links = {(r["u"], r["v"]) for r in got.collect()}
+    assert all((rows[u][1] ^ rows[v][1]).bit_count() <= distance for u, v in links)
+    every = {r["node"]: r["component"] for r in connected_components(simhash.links(df, distance, segments)).collect()}
+    assert {r["node"]: r["component"] for r in connected_components(got).collect()} == every
+
+
 def documents(spark):
     rng = random.Random(6)
     words = ["w%d" % i for i in range(60)]

@@ -8,7 +8,8 @@ Links: fingerprints that differ in at most ``distance`` bits. Candidates come fr
 into ``segments`` and lay them on a ring; two fingerprints within the distance have a segment from which on every chain of
 consecutive segments differs in at most (chain length x distance / segments) bits. So the first few segments of that chain are equal and
 all but a few of the next ones are: these equal segments are the join key, and the whole chain condition, which ends in the
-Hamming check itself, is the join's condition. Rows of equal fingerprints are one class before any join.
+Hamming check itself, is the join's condition. Rows of equal fingerprints are one class before any join. Where a join key has very
+many different fingerprints, links that connect the same are found by way of the numbers between them instead of pair by pair.
 
 Defined cases: null text is like an empty one; rows that repeat get the same result; a null doc_id is fingerprinted, but names no
 component; other columns are not read; an empty table gives an empty result.
@@ -33,6 +34,8 @@ SHINGLE_WORDS, DISTANCE_BITS, SEGMENTS = 3, 3, 8
 #: Segments after the equal ones that the join key draws on.
 FURTHER = 3
 SEED = 42
+#: Rows of a join key from which its links are no longer all listed.
+CROWDED = 2_048
 #: Hashes whose bits are counted at a time.
 COUNTED = 1 << 16
 
@@ -82,12 +85,9 @@ def _keys(fp: Column, segments: int, distance: int) -> Column:
     return F.array(*keys)
 
 
-def links(classes: DataFrame, distance: int = DISTANCE_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """Pairs u < v of the column rep of classes (rep, fp; one row for each fp) whose fp differ in at most distance bits."""
-    if 64 % segments or not 0 < distance < segments:
-        raise ValueError("needs 0 < distance < segments, and segments that divide 64")
+def _pairs(rows: DataFrame, distance: int, segments: int) -> DataFrame:
+    """u < v of the pairs within one key that meet the chain condition."""
     bits = 64 // segments
-    rows = classes.select("rep", "fp", F.explode(_keys(F.col("fp"), segments, distance)).alias("k")).select("rep", "fp", "k.key", "k.start")
     a, b = rows.alias("a"), rows.alias("b")
     apart = F.expr(f"(shiftrightunsigned(a.fp ^ b.fp, {bits} * a.start) | shiftleft(a.fp ^ b.fp, 64 - {bits} * a.start))")
     chain = F.col("a.fp") < F.col("b.fp")
@@ -98,6 +98,41 @@ def links(classes: DataFrame, distance: int = DISTANCE_BITS, segments: int = SEG
     return pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
 
 
+def _ball(fp: Column, radius: int) -> Column:
+    """All numbers that differ from fp in at most radius bits."""
+    flips = [sum(1 << b for b in chosen) for k in range(radius + 1) for chosen in combinations(range(64), k)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in flips]
+    return F.transform(F.lit(signed).cast("array<long>"), lambda x: fp.bitwiseXOR(x))
+
+
+def _stars(crowd: DataFrame, distance: int) -> DataFrame:
+    """u, v: links of crowd (rep, fp) that connect whatever all its links connect, of which there may be too many to list.
+
+    Two numbers within the distance have a number between them, near to the one by half the distance and to the other by the rest. All that
+    are near such a number are linked to the least rep of those in the closer ring, which is within the distance of each. The rows grow with crowd alone.
+    """
+    near = distance // 2
+    middles = crowd.select(F.explode(_ball(F.col("fp"), near)).alias("middle"), "rep").groupBy("middle").agg(F.min("rep").alias("least"))
+    around = crowd.select("rep", F.explode(_ball(F.col("fp"), distance - near)).alias("at"))
+    found = around.join(middles, F.col("at") == F.col("middle")).filter(F.col("rep") != F.col("least"))
+    return found.select(F.least("rep", "least").alias("u"), F.greatest("rep", "least").alias("v")).distinct()
+
+
+def links(classes: DataFrame, distance: int = DISTANCE_BITS, segments: int = SEGMENTS, crowded: int = CROWDED) -> DataFrame:
+    """Pairs u < v of the column rep of classes (rep, fp; one row for each fp) whose fp differ in at most distance bits.
+
+    All of them, but for join keys with more than ``crowded`` rows: of the fp in these, as many links as connect the same.
+    """
+    if 64 % segments or not 0 < distance < segments:
+        raise ValueError("needs 0 < distance < segments, and segments that divide 64")
+    rows = classes.select("rep", "fp", F.explode(_keys(F.col("fp"), segments, distance)).alias("k")).select("rep", "fp", "k.key", "k.start")
+    large = cut(rows.groupBy("key").count().filter(F.col("count") > crowded).select("key"))
+    if large.isEmpty():
+        return _pairs(rows, distance, segments)
+    crowd = cut(rows.join(large, "key", "left_semi").select("rep", "fp").distinct())
+    return _pairs(rows.join(large, "key", "left_anti"), distance, segments).unionByName(_stars(crowd, distance)).distinct()
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE_BITS, segments: int = SEGMENTS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id that links reach from it, itself included) of every row of docs."""
     marked = cut(fingerprints(docs, shingle))
