@@ -61,11 +61,12 @@ def load(path: str, limit: float = LIMIT, skip: bool = True) -> BigramModel:
 
 
 def train(texts: DataFrame, column: str = "text", limit: float = LIMIT, skip: bool = True) -> BigramModel:
-    """The model of all texts, lower-cased, within their runs of letters. The driver gets at most 26 x 26 counts."""
+    """The model of all texts, lower-cased, within their runs of letters. Each different run is cut into bigrams once; the driver gets at most 26 x 26 counts."""
     runs = F.regexp_extract_all(F.lower(F.col(column)), F.lit("[a-z]{2,}"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    counted = texts.select(F.explode_outer(pairs).alias("pair")).filter("pair IS NOT NULL").groupBy("pair").count()
+    counted = texts.select(F.explode_outer(runs).alias("run")).filter("run IS NOT NULL").groupBy("run").count()
+    pairs = F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.substring("run", i, F.lit(2)))
+    counted = counted.select(F.explode_outer(pairs).alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("n"))
     counts: dict[str, dict[str, float]] = {}
     for row in counted.collect():
-        counts.setdefault(row["pair"][0], {})[row["pair"][1]] = row["count"]
+        counts.setdefault(row["pair"][0], {})[row["pair"][1]] = row["n"]
     return from_counts(counts, LETTERS, limit, skip)

@@ -24,5 +24,9 @@ EMAIL = (
 KEY = FLAGS + r"((?!(?:/[^ .]+){2}))((?:(?:[A-Za-z]+[\p{Nd}\p{Pd}/+=:_]+|[\p{Nd}\p{Pd}/+=:]+[A-Za-z]+)){4,})($|[\x08\s\p{IsHan}@?,!;:'\")(.])"
 KEY_PYTHON = r"(?m)(?!(?:/[^ .]+){2})((?:(?:[A-Za-z]+[\p{Nd}\p{Pd}/+=:_]+|[\p{Nd}\p{Pd}/+=:]+[A-Za-z]+)){4,})(?:$|[\x08\s\p{Han}@?,!;:'\")(.])"
 
+#: What a text with a finding holds at least; far cheaper than the patterns themselves.
+IP_NEEDS = r"[0-9]\.[0-9]|:[0-9a-fA-F:%]"
+KEY_NEEDS = r"[A-Za-z][\p{Nd}\p{Pd}/+=:_]++[A-Za-z]"
+
 #: Where the key pattern would recurse too deeply.
 LONG_RUN = r"(?U)\S{1000}"

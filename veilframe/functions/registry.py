@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .patterns import EMAIL, IP
+from .patterns import EMAIL, IP, IP_NEEDS
 from .spans import CLOSE, NONE, OPEN, SPAN
 
 
@@ -18,11 +18,11 @@ def register(spark: SparkSession) -> list[str]:
     They are SQL expressions, so a query that uses them stays in the JVM. raw_ip_spans has no filters; those need what is around an address.
     """
     names = []
-    for name, pattern, tag, needs in (("email_spans", EMAIL, "EMAIL", "@"), ("raw_ip_spans", IP, "IP_ADDRESS", "[.:]")):
+    for name, pattern, tag, needs in (("email_spans", EMAIL, "EMAIL", "@"), ("raw_ip_spans", IP, "IP_ADDRESS", IP_NEEDS)):
         piece = f"named_struct('tag', '{tag}', 'value', substring(searched, s.at + 1, length(p)), 'start', s.at, 'end', s.at + length(p))"
         pieces = f"split(regexp_replace(translate(searched, '{OPEN}{CLOSE}', '\\ufffd\\ufffd'), {_quoted(pattern)}, '$1{OPEN}$2{CLOSE}$3'), '[{OPEN}{CLOSE}]', -1)"
         step = f"named_struct('at', s.at + length(p), 'odd', NOT s.odd, 'found', IF(s.odd, concat(s.found, array({piece})), s.found))"
-        body = f"IF(searched RLIKE '{needs}', aggregate({pieces}, named_struct('at', 0, 'odd', false, 'found', {NONE}), (s, p) -> {step}, s -> s.found), {NONE})"
+        body = f"IF(searched RLIKE {_quoted(needs)}, aggregate({pieces}, named_struct('at', 0, 'odd', false, 'found', {NONE}), (s, p) -> {step}, s -> s.found), {NONE})"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(searched STRING) RETURNS array<{SPAN}> RETURN {body}")
         names.append(name)
     return names

@@ -26,7 +26,8 @@ def merge_findings(rules: DataFrame, model: DataFrame) -> DataFrame:
 
 def findings_of(df: DataFrame, spans: str = "spans") -> DataFrame:
     """A row for each span of df (doc_id, segment_no, filename, spans): filename, start, end, type and text of a finding."""
-    rows = df.select(*KEYS, "filename", F.explode(spans).alias("x"))
+    # Outer: for a plain explode Catalyst would add filters that repeat the whole expression of the spans.
+    rows = df.select(*KEYS, "filename", F.explode_outer(spans).alias("x")).filter("x IS NOT NULL")
     return rows.select(*KEYS, "filename", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.tag").alias("type"), F.col("x.value").alias("text"))
 
 

@@ -6,6 +6,7 @@ The shapes are of public token formats, written from their public descriptions;
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -17,37 +18,42 @@ from ..functions.spans import let, no_spans, occurrences
 
 
 class Plugin(NamedTuple):
-    """pattern: Java, one group, the secret; entropy: bits a character that a secret must exceed; kind: further checks."""
+    """pattern: Java, one group, the secret; entropy: bits a character that a secret must exceed; kind: further checks; needs: one of these
+    stands in a text with a match (in any case, if folded), which is cheaper to see than the pattern."""
 
     name: str
     pattern: str
     entropy: float = 0.0
     kind: str = ""
+    needs: tuple[str, ...] = ()
+    folded: bool = False
 
 
+_QUOTES = ("'", '"')
+
 # Token formats.
 PLUGINS = (
-    Plugin("ArtifactoryDetector", r"(?m)(?:^|[\s=:\"'])(AKC[a-zA-Z0-9]{10,}|AP[\dABCDEF][a-zA-Z0-9]{8,})(?=$|[\s\"'])"),
+    Plugin("ArtifactoryDetector", r"(?m)(?:^|[\s=:\"'])(AKC[a-zA-Z0-9]{10,}|AP[\dABCDEF][a-zA-Z0-9]{8,})(?=$|[\s\"'])", needs=("AKC", "AP")),
     Plugin("AWSKeyDetector", r"((?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16})(?![0-9A-Z])"),
-    Plugin("AWSSecretKey", r"(?i)aws.{0,20}?(?:key|pwd|pw|password|pass|token).{0,20}?['\"]([0-9a-zA-Z/+]{40})['\"]", kind="AWSKeyDetector"),
-    Plugin("Base64HighEntropyString", r"['\"]([A-Za-z0-9+/\-_]{8,}={0,2})['\"]", 4.5),
-    Plugin("HexHighEntropyString", r"['\"]([0-9a-fA-F]{8,})['\"]", 3.0, "hex"),
-    Plugin("AzureStorageKeyDetector", r"AccountKey=([A-Za-z0-9+/=]{88})"),
-    Plugin("CloudantDetector", r"(?i)cloudant[\w.\-]*['\"]?\s{0,3}(?:=|:|:=|=>)\s{0,3}['\"]?([0-9a-f]{64}|[a-z]{24})(?![0-9a-z])"),
-    Plugin("CloudantUrl", r"(?i)https?://[\w\-]+:([0-9a-f]{64}|[a-z]{24})@[\w\-]+\.cloudant\.com", kind="CloudantDetector"),
+    Plugin("AWSSecretKey", r"(?i)aws.{0,20}?(?:key|pwd|pw|password|pass|token).{0,20}?['\"]([0-9a-zA-Z/+]{40})['\"]", kind="AWSKeyDetector", needs=_QUOTES),
+    Plugin("Base64HighEntropyString", r"['\"]([A-Za-z0-9+/\-_]{8,}={0,2})['\"]", 4.5, needs=_QUOTES),
+    Plugin("HexHighEntropyString", r"['\"]([0-9a-fA-F]{8,})['\"]", 3.0, "hex", needs=_QUOTES),
+    Plugin("AzureStorageKeyDetector", r"AccountKey=([A-Za-z0-9+/=]{88})", needs=("AccountKey=",)),
+    Plugin("CloudantDetector", r"(?i)cloudant[\w.\-]*['\"]?\s{0,3}(?:=|:|:=|=>)\s{0,3}['\"]?([0-9a-f]{64}|[a-z]{24})(?![0-9a-z])", needs=("cloudant",), folded=True),
+    Plugin("CloudantUrl", r"(?i)https?://[\w\-]+:([0-9a-f]{64}|[a-z]{24})@[\w\-]+\.cloudant\.com", kind="CloudantDetector", needs=("cloudant",), folded=True),
     Plugin("DiscordBotTokenDetector", r"([MNO][a-zA-Z\d_\-]{23,25}\.[a-zA-Z\d_\-]{6}\.[a-zA-Z\d_\-]{27})"),
-    Plugin("GitHubTokenDetector", r"(gh[pousr]_[A-Za-z0-9_]{36})"),
-    Plugin("IbmCloudIamDetector", r"(?i)(?:ibm|iam|cloud)[\w\-]*(?:key|pwd|password|pass|token)['\"]?\s{0,3}(?:=|:|:=|=>)\s{0,3}['\"]?([a-zA-Z0-9_\-]{44})(?![a-zA-Z0-9_\-])"),
-    Plugin("IbmCosHmacDetector", r"(?i)(?:ibm)?[\-_]?(?:cos|hmac)?[\-_]?(?:hmac)?[\-_]?secret[\-_]?(?:access)?[\-_]?key['\"]?\s{0,3}(?:=|:|:=|=>)\s{0,3}['\"]?([a-f0-9]{48})(?![a-f0-9])"),
-    Plugin("JwtTokenDetector", r"(eyJ[A-Za-z0-9\-_=]+\.[A-Za-z0-9\-_=]+\.?[A-Za-z0-9\-_.+/=]*)", kind="jwt"),
-    Plugin("MailchimpDetector", r"([0-9a-z]{32}-us[0-9]{1,2})(?![0-9])"),
-    Plugin("NpmDetector", r"//.+/:_authToken=\s{0,3}((?:npm_.+)|(?:[A-Fa-f0-9-]{36}))"),
-    Plugin("SendGridDetector", r"(SG\.[a-zA-Z0-9_\-]{22}\.[a-zA-Z0-9_\-]{43})(?![a-zA-Z0-9_\-])"),
-    Plugin("SlackDetector", r"(xox(?:a|b|p|o|s|r)-(?:\d+-)+[a-zA-Z0-9]+)"),
-    Plugin("SlackWebhook", r"(https://hooks\.slack\.com/services/T[a-zA-Z0-9_]+/B[a-zA-Z0-9_]+/[a-zA-Z0-9_]+)", kind="SlackDetector"),
-    Plugin("SoftlayerDetector", r"(?i)(?:softlayer|sl)[_\-]?(?:api)?[_\-]?(?:key|pwd|password|pass|token)['\"]?\s{0,3}(?:=|:|:=|=>)\s{0,3}['\"]?([a-z0-9]{64})(?![a-z0-9])"),
-    Plugin("StripeDetector", r"((?:r|s)k_live_[0-9a-zA-Z]{24})"),
-    Plugin("TwilioKeyDetector", r"((?:AC|SK)[a-z0-9]{32})(?![a-z0-9])"),
+    Plugin("GitHubTokenDetector", r"(gh[pousr]_[A-Za-z0-9_]{36})", needs=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Plugin("IbmCloudIamDetector", r"(?i)(?:ibm|iam|cloud)[\w\-]*(?:key|pwd|password|pass|token)['\"]?\s{0,3}(?:=|:|:=|=>)\s{0,3}['\"]?([a-zA-Z0-9_\-]{44})(?![a-zA-Z0-9_\-])", needs=("ibm", "iam", "cloud"), folded=True),
+    Plugin("IbmCosHmacDetector", r"(?i)(?:ibm)?[\-_]?(?:cos|hmac)?[\-_]?(?:hmac)?[\-_]?secret[\-_]?(?:access)?[\-_]?key['\"]?\s{0,3}(?:=|:|:=|=>)\s{0,3}['\"]?([a-f0-9]{48})(?![a-f0-9])", needs=("secret",), folded=True),
+    Plugin("JwtTokenDetector", r"(eyJ[A-Za-z0-9\-_=]+\.[A-Za-z0-9\-_=]+\.?[A-Za-z0-9\-_.+/=]*)", kind="jwt", needs=("eyJ",)),
+    Plugin("MailchimpDetector", r"([0-9a-z]{32}-us[0-9]{1,2})(?![0-9])", needs=("-us",)),
+    Plugin("NpmDetector", r"//.+/:_authToken=\s{0,3}((?:npm_.+)|(?:[A-Fa-f0-9-]{36}))", needs=(":_authToken=",)),
+    Plugin("SendGridDetector", r"(SG\.[a-zA-Z0-9_\-]{22}\.[a-zA-Z0-9_\-]{43})(?![a-zA-Z0-9_\-])", needs=("SG.",)),
+    Plugin("SlackDetector", r"(xox(?:a|b|p|o|s|r)-(?:\d+-)+[a-zA-Z0-9]+)", needs=("xox",)),
+    Plugin("SlackWebhook", r"(https://hooks\.slack\.com/services/T[a-zA-Z0-9_]+/B[a-zA-Z0-9_]+/[a-zA-Z0-9_]+)", kind="SlackDetector", needs=("hooks.slack.com",)),
+    Plugin("SoftlayerDetector", r"(?i)(?:softlayer|sl)[_\-]?(?:api)?[_\-]?(?:key|pwd|password|pass|token)['\"]?\s{0,3}(?:=|:|:=|=>)\s{0,3}['\"]?([a-z0-9]{64})(?![a-z0-9])", needs=("softlayer", "sl"), folded=True),
+    Plugin("StripeDetector", r"((?:r|s)k_live_[0-9a-zA-Z]{24})", needs=("k_live_",)),
+    Plugin("TwilioKeyDetector", r"((?:AC|SK)[a-z0-9]{32})(?![a-z0-9])", needs=("AC", "SK")),
 )
 # What the filters look for.
 UUID = r"(?i)[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}"
@@ -104,6 +110,9 @@ def plugin_values(text: Column, plugins: tuple[Plugin, ...] = PLUGINS) -> Column
     found = []
     for p in plugins:
         values = F.regexp_extract_all(text, F.lit(p.pattern), F.lit(1))
+        if p.needs:
+            seen = F.lower(text) if p.folded else text
+            values = F.when(reduce(Column.__or__, (F.contains(seen, F.lit(x)) for x in p.needs)), values).otherwise(F.array().cast("array<string>"))
         if p.kind == "hex":
             values = _over(values, hex_entropy, p.entropy)
         elif p.entropy:

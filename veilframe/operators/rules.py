@@ -32,7 +32,7 @@ def email_spans(text: Column) -> Column:
 
 
 def raw_ip_spans(text: Column) -> Column:
-    return F.when(text.rlike("[.:]"), extract(text, patterns.IP, "IP_ADDRESS")).otherwise(no_spans())
+    return F.when(text.rlike(patterns.IP_NEEDS), extract(text, patterns.IP, "IP_ADDRESS")).otherwise(no_spans())
 
 
 def ip_spans(text: Column, public_only: bool = False, v6: bool = True) -> Column:
@@ -66,9 +66,9 @@ def _long_key_spans(texts: pd.Series) -> pd.Series:
 
 def raw_key_spans(text: Column) -> Column:
     """Key-shaped spans. Texts with unbroken runs on which Java would recurse too deeply go to Python's regex module."""
-    is_long = text.rlike(patterns.LONG_RUN)
+    is_long = (F.length(text) >= 1_000) & text.rlike(patterns.LONG_RUN)
     by_python = F.transform(_long_key_spans(F.when(is_long, text)), lambda x: span("KEY", x["value"], x["start"], x["end"]))
-    return F.coalesce(F.when(is_long, by_python).otherwise(extract(text, patterns.KEY, "KEY")), no_spans())
+    return F.coalesce(F.when(is_long, by_python).when(text.rlike(patterns.KEY_NEEDS), extract(text, patterns.KEY, "KEY")), no_spans())
 
 
 def key_spans(text: Column, model: BigramModel) -> Column:

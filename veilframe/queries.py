@@ -30,7 +30,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(df: DataFrame, spans: Column, *more: str) -> DataFrame:
-    return df.select("doc_id", *more, F.explode(spans).alias("x")).select("doc_id", *more, "x.start", "x.end", "x.value")
+    return df.select("doc_id", *more, F.explode_outer(spans).alias("x")).filter("x IS NOT NULL").select("doc_id", *more, "x.start", "x.end", "x.value")
 
 
 def _settings(spark: SparkSession, sf_dir: str, **more) -> Settings:
@@ -92,7 +92,7 @@ def literal_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hex_token_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexes = tuple(p for p in plugins.PLUGINS if p.name == "HexHighEntropyString")
     values = F.filter(plugins.plugin_values(F.col("text"), hexes), lambda v: ~filters.on_hash_line(F.col("text"), v))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(values).alias("value")).select("doc_id", "value", F.round(plugins.hex_entropy(F.col("value")), 6).alias("entropy"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(values).alias("value")).filter("value IS NOT NULL").select("doc_id", "value", F.round(plugins.hex_entropy(F.col("value")), 6).alias("entropy"))
 
 
 def plugin_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
