@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import byte_bpe, decontamination, language_id, line_dedup, simhash
-from veilframe.llm.common import every, scratch_path, table
+from veilframe.llm.common import discard, every, scratch_path, table
 from veilframe.llm.queries import PATTERN, RANKS
 
 
@@ -55,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written as Parquet (in the shared folder) and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents, each written as Parquet (in the shared folder) and read again; what a stage has read is then deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"pipeline-{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
