@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 #: Bytes of an Arrow batch between the JVM and Python, where the session keeps Spark's default: that one lets an executor's tasks hold some
 #: hundreds of MB outside its heap.
 BATCH_BYTES, SPARKS_BATCH_BYTES = 8 << 20, 64 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Output batches after which a worker gives back memory.
 GIVE_BACK_EVERY = 16
 #: Text bytes that a Python worker handles at a time; bounds what it holds besides the Arrow batch itself.
@@ -30,13 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Only where the session names none (tests) a local one is set."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured
+    sc, configured = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
+    return configured or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,6 +46,12 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of scratch_path, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def with_fields(df: DataFrame, fields: str) -> T.StructType:
     """df's schema and further fields, given as DDL."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
@@ -56,17 +59,27 @@ def with_fields(df: DataFrame, fields: str) -> T.StructType:
 
 def give_back_memory() -> None:
     """Returns what a Python worker has freed to the system: workers stay, idle, beside those of later stages."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of size bytes for what is run within, unless the session says otherwise."""
+    before = spark.conf.get(_BATCH_KEY)
+    if before.rstrip("b") in (str(SPARKS_BATCH_BYTES), str(BATCH_BYTES)):
+        spark.conf.set(_BATCH_KEY, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow(run, schema) with batches of at most BATCH_BYTES, unless the session says otherwise, whose workers give back memory at their end."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key) in (str(SPARKS_BATCH_BYTES), f"{SPARKS_BATCH_BYTES}b"):
-        conf.set(key, str(BATCH_BYTES))
+    if df.sparkSession.conf.get(_BATCH_KEY).rstrip("b") == str(SPARKS_BATCH_BYTES):
+        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
     def then_give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices
+from .common import batch_bytes, map_arrow, slices
 
 #: The dictionary's sample: this many documents of at most so many characters (those with the least hash of doc_id); its size.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_024, 8_192, 64 << 10
@@ -42,8 +42,8 @@ LEVEL = 3
 BLOCK_BYTES, BLOCK_DOCS = 256 << 10, 2_048
 #: Different pre-tokens whose ids a worker remembers.
 CACHE_PRE_TOKENS = 600_000
-#: Bytes of text encoded at a time.
-ENCODED_BYTES = 8 << 20
+#: Bytes of text encoded at a time: the more, the fewer times a word is looked up.
+ENCODED_BYTES = 16 << 20
 
 BLOCK_SCHEMA = "shard int, block int, tokens_before long, first_doc_id long, last_doc_id long, dict_sha256 string, doc_ids array<long>, frame_starts array<int>, n_tokens array<int>, payload binary"
 
@@ -62,7 +62,9 @@ def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, of: np.nda
     wanted = counts[of]
     after = np.cumsum(wanted)
     total = int(after[-1]) if len(after) else 0
-    return flat[np.arange(total) + np.repeat(starts[of] - after + wanted, wanted)], after
+    if total >= 1 << 31 or len(flat) >= 1 << 31:
+        raise ValueError("a text of this length can't be encoded in one piece")
+    return flat[np.arange(total, dtype=np.int32) + np.repeat((starts[of] - after + wanted).astype(np.int32), wanted)], after
 
 
 class WordEncoder:
@@ -204,7 +206,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
             yield closed()
 
     ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    map_arrow(ordered, blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    with batch_bytes(spark, ENCODED_BYTES):
+        map_arrow(ordered, blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     head = spark.createDataFrame([(digest, id_bytes, end_id, bytearray(dictionary))], "sha256 string, id_bytes int, end_id int, dictionary binary")
     head.coalesce(1).write.parquet(f"{path}/dictionary")
 
