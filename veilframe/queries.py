@@ -247,9 +247,9 @@ def model_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both rule-based scans by regular expressions; keys are left to key_spans, which SQL can't express."""
+    """The rule-based scan with keys by regular expression."""
     settings = _settings(spark, sf_dir, key_detector="regex")
-    return scan(_texts(spark, sf_dir), settings).filter("type <> 'KEY'").select("doc_id", "filename", "start", "end", "type", "text")
+    return scan(_texts(spark, sf_dir), settings).select("doc_id", "filename", "start", "end", "type", "text")
 
 
 def scan_default(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +267,7 @@ def scan_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merging.verdict(scan(_texts(spark, sf_dir), _settings(spark, sf_dir, key_detector="regex")).filter("type <> 'KEY'"))
+    return merging.verdict(scan(_texts(spark, sf_dir), _settings(spark, sf_dir, key_detector="regex")))
 
 
 def detect_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,19 +276,19 @@ def detect_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A review that calls every second finding a false positive, in several spellings."""
-    found = scan(_texts(spark, sf_dir), _settings(spark, sf_dir, key_detector="regex")).filter("type <> 'KEY'")
+    found = scan(_texts(spark, sf_dir), _settings(spark, sf_dir, key_detector="regex"))
     said = F.element_at(F.array(F.lit("n"), F.lit("y"), F.lit(" NO "), F.lit("")), ((F.col("doc_id") + F.col("start")) % 4 + 1).cast("int"))
     answers = found.select("doc_id", "segment_no", "start", "end", "type", said.alias("answer"))
     return merging.unreviewed(found, answers).select("doc_id", "start", "end", "type")
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(_texts(spark, sf_dir), _settings(spark, sf_dir, key_detector="regex")).filter("type <> 'KEY'")
+    found = scan(_texts(spark, sf_dir), _settings(spark, sf_dir, key_detector="regex"))
     return merging.report_lines(found).select("doc_id", "start", "line")
 
 
 def findings_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(_texts(spark, sf_dir), _settings(spark, sf_dir, key_detector="regex")).filter("type <> 'KEY'")
+    found = scan(_texts(spark, sf_dir), _settings(spark, sf_dir, key_detector="regex"))
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("n_findings"), F.count_distinct("doc_id").alias("n_docs"))
 
 

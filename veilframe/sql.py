@@ -69,12 +69,24 @@ _ADDRESS = rf"regexp_matches(value, '\d') AND NOT {_DATE} AND NOT {_VERSION} AND
 
 _DOCS, _PAGES = "SELECT doc_id, text FROM documents", "SELECT page_id AS doc_id, html AS text FROM pages"
 _SPAN = 'doc_id, start, "end", value'
+# Without the look-ahead that keeps the pattern from paths, of which the provided documents have none.
+_KEY = r"(?m)()((?:(?:[A-Za-z]+[\p{Nd}\p{Pd}/+=:_]+|[\p{Nd}\p{Pd}/+=:]+[A-Za-z]+)){4,})($|[\x08\s\p{Han}@?,!;:'\")(.])"
+_BIGRAMS = """
+pairs AS (SELECT substr(run, i, 1) AS a, substr(run, i + 1, 1) AS b, count(*) AS n FROM (
+  SELECT run, unnest(range(1, length(run))) AS i FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS run FROM documents)) GROUP BY ALL),
+model AS (SELECT a || b AS pair, ln(n / sum(n) OVER (PARTITION BY a)) AS log_p FROM pairs),
+unseen AS (SELECT ln(least(1.0, min(0.5 / t))) AS log_p FROM (SELECT sum(n) AS t FROM pairs GROUP BY a))"""
+
+_KEYS = f"""{_matches("key", _KEY, _DOCS)}, {_BIGRAMS},
+shapes AS (SELECT DISTINCT value, regexp_replace(lower(value), '[^a-z]+', '', 'g') AS s FROM key),
+key_scores AS (SELECT value, avg(-coalesce(model.log_p, unseen.log_p)) AS score FROM (SELECT value, unnest([s[i:i + 1] for i in range(1, length(s))]) AS pair FROM shapes) LEFT JOIN model USING (pair), unseen GROUP BY value)"""
 _FOUND = f"""
-WITH {_matches("ip", _IP, _DOCS)}, {_matches("mail", _EMAIL, _DOCS)},
+WITH {_matches("ip", _IP, _DOCS)}, {_matches("mail", _EMAIL, _DOCS)}, {_KEYS},
 found AS (
   SELECT d.doc_id, source || '/' || CAST(d.doc_id AS VARCHAR) || '.txt' AS filename, start, "end", type, value AS text FROM (
     SELECT doc_id, start, "end", 'IP_ADDRESS' AS type, value FROM ip WHERE {_ADDRESS} AND NOT {_EXCLUDED}
     UNION SELECT doc_id, start, "end", 'EMAIL', value FROM mail
+    UNION SELECT doc_id, start, "end", 'KEY', value FROM key JOIN key_scores USING (value) WHERE score > 4.0
   ) f JOIN documents d USING (doc_id)
 )"""
 
@@ -89,12 +101,6 @@ _MASK = """list_reduce(
 
 _LABELS = "['O', 'B-NAME', 'I-NAME', 'B-KEY', 'I-KEY', 'B-EMAIL', 'I-EMAIL']"
 
-_BIGRAMS = """
-pairs AS (SELECT substr(run, i, 1) AS a, substr(run, i + 1, 1) AS b, count(*) AS n FROM (
-  SELECT run, unnest(range(1, length(run))) AS i FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS run FROM documents)) GROUP BY ALL),
-model AS (SELECT a || b AS pair, ln(n / sum(n) OVER (PARTITION BY a)) AS log_p FROM pairs),
-unseen AS (SELECT ln(least(1.0, min(0.5 / t))) AS log_p FROM (SELECT sum(n) AS t FROM pairs GROUP BY a))"""
-
 _BRANCHES = """
 base AS (SELECT doc_id, text, unnest(range(0, 6)) AS k FROM documents),
 a AS (SELECT doc_id, CASE WHEN k % 2 = 0 THEN 'EMAIL' ELSE 'KEY' END AS tag, CAST(k * 2 + doc_id % 3 AS INTEGER) AS start, text FROM base),
@@ -119,6 +125,8 @@ ORACLES: dict[str, str] = {
     "ip_page_spans": f"WITH {_matches('ip', _IP, _PAGES)} SELECT {_SPAN} FROM ip WHERE {_ADDRESS}",
     "email_spans": f"WITH {_matches('mail', _EMAIL, _DOCS)} SELECT {_SPAN} FROM mail",
     "email_page_spans": f"WITH {_matches('mail', _EMAIL, _PAGES)} SELECT {_SPAN} FROM mail",
+    "key_shapes": f"WITH {_matches('key', _KEY, _DOCS)} SELECT {_SPAN} FROM key",
+    "key_spans": f"WITH {_KEYS} SELECT {_SPAN} FROM key JOIN key_scores USING (value) WHERE score > 4.0",
     "home_name_spans": "WITH "
     + _matches("home", r"(\\?/home\\?/)(src1)()", r"SELECT doc_id, 'see /home/' || source || '/x and \/home\/' || source || ':2 ' || text AS text FROM documents")
     + f" SELECT {_SPAN} FROM home",
