@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import in_order
+from ..functions.spans import in_order, let
 
 KEYS = ["doc_id", "segment_no"]
 
@@ -13,7 +13,12 @@ KEYS = ["doc_id", "segment_no"]
 def merge_spans(*branches: Column) -> Column:
     """The spans of all branches of one text, each (start, end, tag) once, in that order. A null branch has none."""
     every = F.concat(*(F.coalesce(b, F.expr("CAST(array() AS array<struct<tag:string,value:string,start:int,end:int>>)")) for b in branches))
-    return F.array_distinct(in_order(every))
+
+    def first_of_equals(s: Column) -> Column:
+        before = lambda i: F.get(s, i - 1)
+        return F.filter(s, lambda x, i: (i == 0) | (x["start"] != before(i)["start"]) | (x["end"] != before(i)["end"]) | (x["tag"] != before(i)["tag"]))
+
+    return let(in_order(every), first_of_equals)
 
 
 def merge_findings(rules: DataFrame, model: DataFrame) -> DataFrame:
