@@ -41,7 +41,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_024, 8_192, 64 << 10
 LEVEL = 3
 BLOCK_BYTES, BLOCK_DOCS = 256 << 10, 2_048
 #: Different pre-tokens whose ids a worker remembers.
-CACHE_PRE_TOKENS = 600_000
+CACHE_PRE_TOKENS = 400_000
 #: Bytes of text encoded at a time: the more, the fewer times a word is looked up.
 ENCODED_BYTES = 16 << 20
 
