@@ -51,3 +51,46 @@ def test_stages_take_odd_rows(spark, tmp_path):
             stage(spark, docs, SF).write.parquet(path)
             docs = spark.read.parquet(path)
         assert docs.count() <= len(table)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the provided tables")
+def test_stages_by_brute_force(spark, tmp_path):
+    """Each stage's rows against plain Python on what the stage before it kept."""
+    import tiktoken
+    from test_dedup import fingerprint_by_hand, judged_by_hand, lines_by_hand
+
+    from veilframe.llm import byte_bpe, language_id, line_dedup
+    from veilframe.llm.queries import PATTERN, RANKS
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        kept.append(docs.collect())
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+    kept.append(docs.collect())
+    first, identified, cleaned, unlike, clean, tokens = kept
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    rejected = {r["doc_id"] for r in language_id.identify(rows, language_id.train(rows)).filter("rejected").collect()}
+    assert sorted(r["doc_id"] for r in identified) == sorted(r["doc_id"] for r in first if r["doc_id"] not in rejected)
+
+    expected = lines_by_hand([(r["doc_id"], r["text"], r["source"]) for r in identified], line_dedup.MIN_SITES)
+    assert {r["doc_id"]: r["text"] for r in cleaned} == {k[0]: v for k, v in expected.items()}
+    assert all(r["n_chars"] == len(r["text"]) for r in cleaned)
+
+    prints = {r["doc_id"]: fingerprint_by_hand(r["text"]) for r in cleaned}
+    label = {i: i for i in prints}
+    for i, a in prints.items():
+        for j, b in prints.items():
+            if i < j and (a ^ b).bit_count() <= 3 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    assert {r["doc_id"] for r in unlike} == set(label.values()) and len(unlike) == len(set(label.values()))
+
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert {r["doc_id"] for r in clean} == {r["doc_id"] for r in unlike if not judged_by_hand(r["text"], items)[3]}
+
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.PieceEncoder(RANKS, PATTERN).ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in clean}
+    assert {r["doc_id"]: (r["ids"], r["n_tokens"], r["text"]) for r in tokens} == {i: (ids := library.encode_ordinary(t), len(ids), t) for i, t in texts.items()}
