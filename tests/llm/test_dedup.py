@@ -204,6 +204,21 @@ def test_decontamination(spark):
         assert words_by_hand(cut[i]) == [w for k, w in enumerate(words_by_hand(text)) if k not in hit], text
 
 
+def test_decontamination_by_a_shuffle(spark):
+    items, texts = benchmark_case(spark)
+    texts.append(f"{items[0][1]} and {items[1][1]}")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (None, items[0][1])], "doc_id long, text string")
+    judged = decontamination.judge(docs, benchmark, max_windows=3)
+    got = {r["doc_id"]: r["verdict"] for r in judged.collect()}
+    assert got == {r["doc_id"]: r["verdict"] for r in decontamination.judge(docs, benchmark).collect()}
+    assert got[len(texts) - 1]["items"] == ["0", "1"]
+    for i, text in enumerate(texts):
+        n, hits, found, bad, _ = judged_by_hand(text, items)
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"], got[i]["contaminated"]) == (n, hits, found, bad), text
+    assert decontamination.remove_documents(docs, benchmark, max_windows=3).count() == sum(not v["contaminated"] for v in got.values())
+
+
 def test_decontamination_of_nothing(spark):
     benchmark = spark.createDataFrame([(1, "")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")

@@ -1,9 +1,9 @@
 """Benchmark decontamination (operator 10), in DataFrame functions only.
 
 Method: each benchmark item gives its windows of ``window`` consecutive normalised words (an item of fewer words is one window). The
-distinct windows, by 64-bit hash, are a set that is broadcast: it grows with the benchmark alone, and build() refuses one
-of more than ``max_windows``. The documents' own windows are hashed and probed against it; then each hit is verified word
-by word in its document, so no hash collision counts.
+distinct windows, by 64-bit hash, are a set that is broadcast if it has at most ``max_windows``: it grows with the benchmark alone.
+The documents' own windows are hashed and probed against it. A larger set is joined by a shuffle, of those windows of the documents
+that a bitmap of bounded size lets through. Each hit is verified word by word in its document, so no hash collision counts.
 
 Words: A-Z are lower-cased; a word is a run of a-z, 0-9 and non-ASCII characters.
 
@@ -24,8 +24,10 @@ from .common import ascii_lower, cut, every, fresh, let
 WINDOW_WORDS = 13
 #: A document counts as contaminated from this share of hit words on: one in SHARE.
 SHARE = 20
-#: About 100 bytes each: a broadcast of at most 100 MB.
+#: The most windows that are broadcast. About 100 bytes each: at most 100 MB.
 MAX_WINDOWS = 1_000_000
+#: Above that a bitmap of 64 times 2 to the power of so many bits is broadcast, in as many rows of 64 bits.
+BITMAP_ROWS = 20
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same for a text as it is, with A-Z in words.
@@ -51,20 +53,31 @@ def _hashes(lengths: list[int]) -> Callable[[Column], Column]:
     return lambda found: F.concat(*(of(found, n) for n in lengths))
 
 
-def build(benchmark: DataFrame, window: int = WINDOW_WORDS, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """The distinct windows of benchmark (item_id, text): hash, n (words), window (the words, joined) and items (ids as strings)."""
+def build(benchmark: DataFrame, window: int = WINDOW_WORDS, max_windows: int | None = None) -> DataFrame:
+    """The distinct windows of benchmark (item_id, text): hash, n (words), window (the words, joined) and items (ids as strings).
+
+    Only where max_windows is given are more of them an error.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(window))
     cut_at = F.sequence(F.lit(1), F.size("words") - length + 1)
     windows = items.select("item", length.alias("n"), F.explode(F.transform(cut_at, lambda i: F.slice("words", i, length))).alias("w"))
     windows = windows.groupBy("n", F.xxhash64("w").alias("hash"), F.array_join("w", " ").alias("window")).agg(F.collect_set("item").alias("items"))
     windows = cut(windows)
-    if (found := windows.count()) > max_windows:
-        raise ValueError(f"{found} windows are more than max_windows, {max_windows}: decontaminate against parts of the benchmark in turn")
+    if max_windows is not None and (found := windows.count()) > max_windows:
+        raise ValueError(f"{found} windows are more than max_windows, {max_windows}")
     return windows
 
 
-def _candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
+def _possible(hashes: DataFrame, windows: DataFrame) -> DataFrame:
+    """The rows of hashes whose hash has its bit set in the bitmap of the windows' hashes: all that occur there, and some others."""
+    place = F.shiftrightunsigned("hash", 64 - BITMAP_ROWS)
+    bits = windows.groupBy(place.alias("place")).agg(F.expr("bit_or(shiftleft(1L, CAST(hash & 63 AS INT)))").alias("bits"))
+    is_set = F.expr("(shiftrightunsigned(bits, CAST(hash & 63 AS INT)) & 1L) = 1L")
+    return hashes.join(F.broadcast(bits), (place == F.col("place")) & is_set).drop("place", "bits")
+
+
+def _candidates(docs: DataFrame, windows: DataFrame, max_windows: int) -> DataFrame:
     """match_id and at: the places of a document (start word, words, window, items) where a window's hash occurs."""
     lengths = sorted(x["n"] for x in windows.select("n").distinct().collect())  # at most WINDOW_WORDS of them
     # One row a hash: windows of different words with one hash, if there are any, stand in it together.
@@ -73,7 +86,13 @@ def _candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").alias("match_id"), F.expr("CAST(NULL AS array<struct<pos:int,n:int,window:string,items:array<string>>>)").alias("at")).limit(0)
     # Outer, as for a plain explode Catalyst adds filters that repeat the whole expression; the join drops the null rows.
     hashes = docs.select(F.col("doc_id").alias("match_id"), F.explode_outer(let(words(F.col("text")), _hashes(lengths))).alias("at"))
-    found = hashes.select("match_id", "at.*").join(F.broadcast(table), (F.col("hash") == F.col("w_hash")) & (F.col("n") == F.col("w_n")))
+    hashes = hashes.select("match_id", "at.*")
+    if windows.count() <= max_windows:
+        table = F.broadcast(table)
+    else:
+        # A merge join: Spark splits what many documents share, and estimates of sizes can't make it broadcast.
+        hashes, table = _possible(hashes, windows), table.hint("merge")
+    found = hashes.join(table, (F.col("hash") == F.col("w_hash")) & (F.col("n") == F.col("w_n")))
     place = F.transform("w_same", lambda x: F.struct(F.col("pos"), F.col("w_n").alias("n"), x["window"].alias("window"), x["items"].alias("items")))
     return found.groupBy("match_id").agg(F.flatten(F.collect_set(place)).alias("at"))
 
@@ -85,7 +104,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, sha
     contaminated: some word is hit, and share x n_hit >= n_words.
     """
     match, places_at = fresh(docs, "match_id"), fresh(docs, "at")
-    places = _candidates(docs, build(benchmark, window, max_windows)).select(F.col("match_id").alias(match), F.col("at").alias(places_at))
+    places = _candidates(docs, build(benchmark, window), max_windows).select(F.col("match_id").alias(match), F.col("at").alias(places_at))
     marked = docs.join(places, F.col("doc_id").eqNullSafe(F.col(match)), "left")
 
     def spans(hits: Column) -> Column:
