@@ -122,6 +122,21 @@ def test_language(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("number", [1, 2, 3])
+def test_unlearned_texts_are_rejected(spark, number):
+    rng = random.Random(number)
+    learned = sorted(LANGUAGES)[:number]
+    rows = [(i, prose(rng, LANGUAGES[lang := rng.choice(learned)], rng.randint(5, 60)), lang) for i in range(400)]
+    mixed = [(1000 + i, prose(rng, LANGUAGES[learned[0]], 20) + " " + prose(rng, LANGUAGES[learned[-1]], 20), None) for i in range(20)]
+    letters = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9)))
+    other = [(2000, "中文 字 漢", None), (2001, "и это не на том же языке", None), (2002, "η γλώσσα είναι εδώ", None)] + [(2003 + i, " ".join(letters() for _ in range(30)), None) for i in range(20)]
+    df = spark.createDataFrame(rows + mixed + other, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    rejected = {r["doc_id"] for r in language_id.identify(df, model).filter("rejected").collect()}
+    assert rejected == {r[0] for r in other}
+    assert language_id.keep_identified(df, model).count() == len(rows) + len(mixed)
+
+
 def test_a_words_subwords_do_not_depend_on_the_batch():
     import pyarrow as pa
 

@@ -2,8 +2,9 @@
 
 Method: a text's vector is the mean of the embeddings of its hashed subwords (character n-grams of its lower-cased words, with a
 mark at either end); a linear softmax over it gives the languages. Embeddings and softmax are trained by stochastic gradient descent in numpy
-on a bounded sample of labelled rows; a part of the sample that is not trained on sets the temperature of the scores and the
-score under which a prediction is rejected.
+on a bounded sample of labelled rows; a part of the sample that is not trained on sets the temperature of the scores, the
+score under which a prediction is rejected, and the share of subwords known from the sample under which it is. The score alone can't
+reject much: the best of L chances is at least 1/L, and a text in two of two languages has just that. All of such a text is known.
 
 To predict, embeddings and softmax are multiplied out to a table of one number for each subword bucket and language; of
 a batch's texts each different word is looked up once.
@@ -37,14 +38,17 @@ EPOCHS, BATCH, RATE, SEED = 12, 32, 0.5, 7
 CALIBRATE_EVERY = 4
 #: Share of the calibrating rows with a right prediction that may be rejected, and the most a score must reach.
 REJECTED_SHARE, MAX_THRESHOLD = 0.0, 0.3
+#: Known subwords: of so many characters at least, told apart by so many bits of their hash. A text is rejected if its share of them is under
+#: KNOWN_PART of the share that all but KNOWN_OUTLIERS of the calibrating rows with a right prediction reach.
+KNOWN_CHARS, KNOWN_BITS, KNOWN_PART, KNOWN_OUTLIERS = 3, 22, 1 / 3, 0.005
 #: Subwords looked up at a time.
 LOOKED_UP = 1 << 17
 UNDETERMINED = "und"
 _MARK = 10  # newline: no word holds it
 
 
-def _buckets(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bucket and start of each subword of words that stand between marks: codes begins and ends with one."""
+def _subwords(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, KNOWN_BITS of the hash, and start of each subword of words that stand between marks: codes begins and ends with one."""
     inner = codes != _MARK
     spread = codes.astype(np.uint64)
     for n in NGRAMS:
@@ -59,7 +63,11 @@ def _buckets(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 if 0 < k < n - 1:
                     whole &= inner[first + k : until + k]
             starts = np.flatnonzero(whole)
-            yield (hashed[starts] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), starts + first
+            yield n, (hashed[starts] >> np.uint64(64 - KNOWN_BITS)).astype(np.int64), starts + first
+
+
+def _bucket(hashed: np.ndarray) -> np.ndarray:
+    return hashed >> KNOWN_BITS - BUCKET_BITS
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -74,26 +82,38 @@ def _words(texts: pa.Array) -> pa.ListArray:
 
 
 class Model(NamedTuple):
-    """languages, table (bucket by language), bias, temperature, and the score under which a prediction is rejected."""
+    """languages, table (bucket by language), bias, temperature, the score and the share of known subwords under which a prediction is
+    rejected, and the known subwords (a bit for each hash)."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    least_known: float
+    known: np.ndarray
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Probability of each language for each text (no null); uniform for one without words."""
+        return self.judge(texts)[0]
+
+    def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The scores and the share of known subwords of each text (no null); 0 for one without words."""
         split = _words(texts)
         coded = split.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
         codes = _codes(words)
         word_of = np.cumsum(codes == _MARK) - 1
         sums, counts = np.zeros((len(words) + 1, len(self.languages))), np.zeros(len(words) + 1)
-        for buckets, starts in _buckets(codes):
+        known, tested = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+        for n, hashed, starts in _subwords(codes):
             # A subword that begins in a word, or in the mark before it, is that word's.
-            of = word_of[starts]
-            counts += np.bincount(of, minlength=len(counts))
+            of, buckets = word_of[starts], _bucket(hashed)
+            found = np.bincount(of, minlength=len(counts))
+            counts += found
+            if n >= KNOWN_CHARS:
+                tested += found
+                known += np.bincount(of, self.known[hashed >> 3] >> (hashed & 7) & 1, minlength=len(counts))
             for k in range(len(self.languages)):
                 sums[:, k] += np.bincount(of, self.table[buckets, k], minlength=len(counts))
         ends = split.offsets.to_numpy()
@@ -101,7 +121,7 @@ class Model(NamedTuple):
         total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[of])])[ends])
         number = np.maximum(total(counts), 1)
         logits = np.stack([total(sums[:, k]) / number for k in range(len(self.languages))], axis=1) + self.bias
-        return _softmax(logits / self.temperature)
+        return _softmax(logits / self.temperature), total(known) / np.maximum(total(tested), 1)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -109,14 +129,15 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=1, keepdims=True)
 
 
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of each text and their shares."""
-    bags = []
+def _bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """Buckets of each text and their shares, and the hashes of the subwords that can be known."""
+    bags, hashes = [], []
     for split in _words(pa.array(texts, pa.string())).to_pylist():
-        found = [b for b, _ in _buckets(_codes([w for w in split if w]))]
-        buckets, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0))
+        found = [(n, h) for n, h, _ in _subwords(_codes([w for w in split if w]))]
+        buckets, counts = np.unique(np.concatenate([_bucket(h) for _, h in found]), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0))
         bags.append((buckets, counts / max(1, counts.sum())))
-    return bags
+        hashes.append(np.concatenate([np.zeros(0, np.int64), *(h for n, h in found if n >= KNOWN_CHARS)]))
+    return bags, hashes
 
 
 def fit(texts: list[str], labels: list[str]) -> Model | None:
@@ -128,7 +149,7 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
         raise ValueError(f"{len(languages)} languages are more than MAX_LANGUAGES")
     rng = np.random.default_rng(SEED)
     target = np.searchsorted(languages, labels)
-    bags = _bags(texts)
+    bags, hashes = _bags(texts)
     order = rng.permutation(len(texts))
     held, train = order[::CALIBRATE_EVERY], np.delete(order, np.s_[::CALIBRATE_EVERY])
     if not len(train):
@@ -155,9 +176,17 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(held)), truth], 1e-12)).mean()
     temperature = min(np.geomspace(0.2, 5, 33), key=loss)
     chances = _softmax(logits / temperature)
-    right = np.sort(chances.max(axis=1)[chances.argmax(axis=1) == truth])
+    is_right = chances.argmax(axis=1) == truth
+    right = np.sort(chances.max(axis=1)[is_right])
     threshold = min(MAX_THRESHOLD, float(right[int(REJECTED_SHARE * len(right))])) if len(right) else MAX_THRESHOLD
-    return Model(languages, table.astype(np.float32), bias, float(temperature), threshold)
+    known = np.zeros(1 << KNOWN_BITS, bool)
+    for r in train:
+        known[hashes[r]] = True
+    shares = np.sort([known[hashes[r]].mean() for r in held[is_right] if len(hashes[r])])
+    least_known = KNOWN_PART * float(shares[int(KNOWN_OUTLIERS * len(shares))]) if len(shares) else 0.0
+    for r in held:
+        known[hashes[r]] = True
+    return Model(languages, table.astype(np.float32), bias, float(temperature), threshold, least_known, np.packbits(known, bitorder="little"))
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model | None:
@@ -176,11 +205,13 @@ def _verdicts(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndar
     texts = pc.fill_null(texts, "")
     known = np.array(pc.match_substring_regex(texts, r"\p{L}").to_pylist(), bool) & (model is not None)
     predicted, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+    rejected = ~known
     if known.any():
-        chances = model.scores(texts.filter(pa.array(known)))
+        chances, shares = model.judge(texts.filter(pa.array(known)))
         predicted[known] = np.array(model.languages, object)[chances.argmax(axis=1)]
         score[known] = chances.max(axis=1)
-    return predicted, score, ~known | (score < (model.threshold if model else 1))
+        rejected[known] = (score[known] < model.threshold) | (shares < model.least_known)
+    return predicted, score, rejected
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
