@@ -129,3 +129,16 @@ def test_library_tokens(spark):
     df = spark.createDataFrame([(1, 0, "héllo wörld"), (2, 0, None)], "doc_id long, segment_no int, text string")
     rows = {r["doc_id"]: r for r in windows.library_tokens(df, public_tokenizers.path("byte_bpe_50k.json")).collect()}
     assert rows[2]["input_ids"] == [] and rows[1]["offset_mapping"][-1]["e"] == 11
+
+
+@pytest.mark.parametrize("prefix_space", [True, False])
+def test_library_tokens_with_a_prefix_space(spark, tmp_path, prefix_space):
+    tokenizers = pytest.importorskip("tokenizers")
+    vocabulary = {c: i for i, c in enumerate(sorted(tokenizers.pre_tokenizers.ByteLevel.alphabet()))} | {"ab": 256, "\u0120ab": 257}
+    made = tokenizers.Tokenizer(tokenizers.models.BPE(vocabulary, [("a", "b"), ("\u0120", "ab")]))
+    made.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(path := str(tmp_path / "byte_level.json"))
+    df = spark.createDataFrame([(1, "ab ab"), (2, " ab"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in windows.library_tokens(df, path, **({} if prefix_space else {"prefix_space": False})).collect()}
+    assert {i: r["input_ids"] for i, r in got.items()} == {1: [257 if prefix_space else 256, 257], 2: [257], 3: []}
+    assert [tuple(x) for x in got[1]["offset_mapping"]] == [(0, 2), (2, 5)]

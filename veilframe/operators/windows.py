@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from typing import Protocol
@@ -84,19 +85,27 @@ def word_tokens(df: DataFrame, vocabulary: int = 1 << 15) -> DataFrame:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(path: str, prefix_space: bool):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if "add_prefix_space" not in (spec.get("pre_tokenizer") or {}):
+        return Tokenizer.from_file(path)
+    spec["pre_tokenizer"]["add_prefix_space"] = prefix_space
+    return Tokenizer.from_str(json.dumps(spec))
 
 
-def library_tokens(df: DataFrame, tokenizer_path: str) -> DataFrame:
-    """df with the ids and offsets that the tokenizers library gives its text, without special tokens. The file must be on every executor."""
+def library_tokens(df: DataFrame, tokenizer_path: str, prefix_space: bool = True) -> DataFrame:
+    """df with the ids and offsets that the tokenizers library gives its text, without special tokens. The file must be on every executor.
+
+    prefix_space sets add_prefix_space where the file's pre-tokenizer itself (not one within a sequence) has that option; offsets are the text's own.
+    """
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(TOKENS).fields])
     names = [*df.columns, "input_ids", "offset_mapping"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path, prefix_space)
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
