@@ -219,6 +219,32 @@ def test_decontamination_by_a_shuffle(spark):
     assert decontamination.remove_documents(docs, benchmark, max_windows=3).count() == sum(not v["contaminated"] for v in got.values())
 
 
+@pytest.mark.parametrize("most", [decontamination.BROADCAST_DOCS, 0])
+def test_decontamination_of_rows_that_share_an_id_or_have_none(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BROADCAST_DOCS", most)
+    rng = random.Random(13)
+    items = [(i, " ".join(rng.choices("abcdefgh", k=20))) for i in range(5)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"own {i} " + (items[i % 5][1] if i % 2 else "clean words") for i in range(10_000)]
+    crowd = spark.createDataFrame([(None if i % 4 else 7, t) for i, t in enumerate([*texts, texts[1], texts[1]])], "doc_id long, text string")
+    got = decontamination.judge(crowd, benchmark).collect()
+    assert len(got) == 10_002 and all(r["verdict"]["contaminated"] == ("clean" not in r["text"]) for r in got)
+    assert all(r["verdict"]["n_words"] == len(r["text"].split()) for r in got)
+    assert decontamination.remove_documents(crowd, benchmark).count() == 5_000
+    thin = decontamination.verdicts(crowd, benchmark)
+    assert thin.count() == 10_002 and thin.filter("verdict.contaminated").count() == 5_002
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    body = "solo " * 3 + "w x " * 200_000 + " the end of all that is here and now for you and me"
+    benchmark = spark.createDataFrame([(1, "the end of all that is here and now for you and me"), (2, "solo")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, body)], "doc_id long, text string")
+    (row,) = decontamination.verdicts(docs, benchmark).collect()
+    n, hits, found, bad, _ = 400_016, 16, ["1", "2"], False, None
+    assert (row["verdict"]["n_words"], row["verdict"]["n_hit"], row["verdict"]["items"], row["verdict"]["contaminated"]) == (n, hits, found, bad)
+    assert decontamination.remove_spans(docs, benchmark).first()["text"] == "w x " * 200_000 + " "
+
+
 def test_decontamination_of_nothing(spark):
     benchmark = spark.createDataFrame([(1, "")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")

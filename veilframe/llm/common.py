@@ -111,6 +111,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(first)
 
 
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """k1 and k2, two 64-bit hashes that with doc_id tell rows apart where ids repeat."""
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() would also change other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -77,7 +77,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    judged = decontamination.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     v = F.col("verdict")
     items = F.sha2(F.array_join(v["items"], ","), 256)
     return judged.select("doc_id", v["n_words"].alias("n_words"), v["n_hit"].alias("n_hit"), F.size(v["items"]).cast("long").alias("n_items"), items.alias("items_sha256"), v["contaminated"].alias("contaminated"))
