@@ -125,6 +125,34 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.components(df.limit(0)).count() == simhash.deduplicate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [simhash.BROADCAST_DUPLICATES, 0])
+def test_near_duplicates_with_one_id(spark, monkeypatch, most):
+    """Rows of one doc_id with unlike texts are unlike documents; one row of each component stays."""
+    monkeypatch.setattr(simhash, "BROADCAST_DUPLICATES", most)
+    rng = random.Random(17)
+    texts = [t for t in documents(spark) if t]
+    rows = [(rng.randrange(30), rng.choice(texts), "x") for _ in range(300)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    prints = {t: fingerprint_by_hand(t) for _, t, _ in rows}
+    label = {p: p for p in prints.values()}
+    for a in list(label):
+        for b in list(label):
+            if (a ^ b).bit_count() <= 3 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    least = {}
+    for i, t, _ in rows:
+        least[label[prints[t]]] = min(i, least.get(label[prints[t]], i))
+    kept = simhash.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted((label[prints[r["text"]]], r["doc_id"]) for r in kept.collect()) == sorted(least.items())
+    found = simhash.components(df).collect()
+    assert len(found) == len(rows) and all(least[label[r["fp"] % (1 << 64)]] == r["component_id"] for r in found)
+    two = spark.createDataFrame([(1, "a b c d e"), (1, "wholly other words here now")], "doc_id long, text string")
+    assert simhash.deduplicate(two).count() == 2
+
+
 def lines_by_hand(rows, min_sites):
     places, sites = {}, {}
     for doc_id, text, source in rows:
@@ -137,6 +165,21 @@ def lines_by_hand(rows, min_sites):
     return {(d, t, s): None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t, s in rows}
 
 
+@pytest.mark.parametrize("most", [line_dedup.BROADCAST_LINES, 0])
+def test_lines_of_rows_with_one_id(spark, monkeypatch, most):
+    """Lines are cut out of the text that has them, not out of another text with its doc_id."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+    rng = random.Random(23)
+    rows = [(rng.randrange(40), "\n".join(rng.choice(["shared", f"own {i}", "other shared", f"precious {i}"]) for _ in range(4)), f"s{i % 20}") for i in range(200)]
+    rows.append((3, "precious A\nprecious B", "s1"))
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10).collect())
+    assert len(got) == len(rows) and (3, "precious A\nprecious B") in got
+    own = lambda t: [x for x in t.split("\n") if x and not x.endswith("shared")]
+    assert sorted((i, own(t)) for i, t in got) == sorted((i, own(t)) for i, t, _ in rows)
+    left = [x for _, t in got for x in t.split("\n") if x.endswith("shared")]
+    assert sorted(left) == ["other shared", "shared"]
+
+
 @pytest.mark.parametrize("min_sites", [2, 5, 40])
 def test_lines(spark, min_sites):
     rng = random.Random(min_sites)

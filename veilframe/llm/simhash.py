@@ -11,8 +11,9 @@ all but a few of the next ones are: these equal segments are the join key, and t
 Hamming check itself, is the join's condition. Rows of equal fingerprints are one class before any join. Where a join key has very
 many different fingerprints, links that connect the same are found by way of the numbers between them instead of pair by pair.
 
-Defined cases: null text is like an empty one; rows that repeat get the same result; a null doc_id is fingerprinted, but names no
-component; other columns are not read; an empty table gives an empty result.
+Defined cases: null text is like an empty one; rows that repeat get the same result; rows of one doc_id with different texts are each
+fingerprinted, and only their fingerprints link them; a null doc_id is fingerprinted, but names no component; other columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, map_arrow, slices, with_fields
+from .common import bounded, cut, every, fresh, map_arrow, slices, text_keys, with_fields
 from .graph import connected_components
 
 SHINGLE_WORDS, DISTANCE_BITS, SEGMENTS = 3, 3, 8
@@ -38,6 +39,8 @@ SEED = 42
 CROWDED = 2_048
 #: Hashes whose bits are counted at a time.
 COUNTED = 1 << 16
+#: Duplicates up to this number are broadcast (some 60 bytes each) to the documents; more are joined by a shuffle.
+BROADCAST_DUPLICATES = 200_000
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -56,16 +59,17 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (long) of every row of docs."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, fp (long) and k1, k2 (hashes of the text) of every row of docs."""
+    docs = docs.select("doc_id", "text", *text_keys(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").cast(pa.binary()).to_pylist()
-                yield pa.record_batch([part.column("doc_id"), pa.array([fingerprint(x or b"", shingle) for x in texts], pa.int64())], names=["doc_id", "fp"])
+                prints = pa.array([fingerprint(x or b"", shingle) for x in texts], pa.int64())
+                yield pa.record_batch([part.column("doc_id"), prints, part.column("k1"), part.column("k2")], names=["doc_id", "fp", "k1", "k2"])
 
-    return map_arrow(docs, run, with_fields(docs.select("doc_id"), "fp long"))
+    return map_arrow(docs, run, with_fields(docs.select("doc_id"), "fp long, k1 long, k2 long"))
 
 
 def _keys(fp: Column, segments: int, distance: int) -> Column:
@@ -133,25 +137,46 @@ def links(classes: DataFrame, distance: int = DISTANCE_BITS, segments: int = SEG
     return _pairs(rows.join(large, "key", "left_anti"), distance, segments).unionByName(_stars(crowd, distance)).distinct()
 
 
+def _labelled(marked: DataFrame, distance: int, segments: int) -> tuple[DataFrame, DataFrame]:
+    """class_fp, label (the least fp that links reach) and component_id (the least doc_id that they reach) of each fp that some row with a
+    doc_id has, and whether it is linked to others: the linked ones, and all."""
+    classes = cut(marked.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = connected_components(links(classes.select(F.col("fp").alias("rep"), "fp"), distance, segments))
+    named = classes.join(found, F.col("fp") == F.col("node")).select("fp", "rep", "component")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = cut(named.join(least, "component").select(F.col("fp").alias("class_fp"), F.col("component").alias("label"), F.col("least").alias("component_id")))
+    alone = classes.join(linked, F.col("fp") == F.col("class_fp"), "left_anti").select(F.col("fp").alias("class_fp"), F.col("fp").alias("label"), F.col("rep").alias("component_id"))
+    return linked, linked.unionByName(alone)
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE_BITS, segments: int = SEGMENTS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id that links reach from it, itself included) of every row of docs."""
     marked = cut(fingerprints(docs, shingle))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(classes.filter("rep IS NOT NULL"), distance, segments))
-    classes = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    _, classes = _labelled(marked, distance, segments)
+    return marked.join(classes, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id. Rows with one doc_id are one document: one of them
-    stays. Rows without doc_id all stay."""
-    grouped = cut(components(docs, shingle, distance, segments))
-    kept_id = fresh(docs, "kept_id")
-    kept = grouped.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id))
-    if not grouped.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
-        kept = kept.distinct()
-    same = F.col("doc_id") == F.col(kept_id)
-    if grouped.filter("doc_id IS NULL").isEmpty():
-        return docs.join(kept, same, "left_semi")
-    return docs.filter("doc_id IS NOT NULL").join(kept, same, "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    """docs with one document of each component, the one with the least doc_id (of those with one id, the one with the least fingerprint
+    and hashes of its text; of equal rows one). Rows of one doc_id in different components all stay, and so do rows without doc_id."""
+    marked = cut(fingerprints(docs, shingle))
+    labelled = marked.filter("doc_id IS NOT NULL").join(_labelled(marked, distance, segments)[1], F.col("fp") == F.col("class_fp"))
+    rows = labelled.groupBy("label", "doc_id", "fp", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    best = rows.groupBy("label").agg(F.min(F.struct("doc_id", "fp", "k1", "k2")).alias("best"))
+    rows = cut(rows.join(best, "label").select("doc_id", "k1", "k2", "copies", (F.struct("doc_id", "fp", "k1", "k2") == F.col("best")).alias("stays")))
+    names = {c: fresh(docs, f"dup_{c}") for c in ("doc_id", "k1", "k2")}
+    own = text_keys(F.col("text"))
+
+    def same(found: DataFrame) -> tuple[DataFrame, Column]:
+        found = found.select(*(F.col(c).alias(name) for c, name in names.items()))
+        return found, (F.col("doc_id") == F.col(names["doc_id"])) & (own[0] == F.col(names["k1"])) & (own[1] == F.col(names["k2"]))
+
+    kept = docs.join(*same(bounded(rows.filter("NOT stays"), BROADCAST_DUPLICATES)), "left_anti")
+    repeated = rows.filter("stays AND copies > 1")
+    if repeated.isEmpty():
+        return kept
+    # Of rows that are equal in doc_id and text all but one go.
+    again, on = same(bounded(repeated, BROADCAST_DUPLICATES))
+    k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
+    once = kept.join(again, on, "left_semi").withColumns({k1: own[0], k2: own[1]}).dropDuplicates(["doc_id", k1, k2]).select(*every(docs))
+    return kept.join(again, on, "left_anti").unionByName(once)
