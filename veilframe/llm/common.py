@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of an Arrow batch between the JVM and Python, where the session keeps Spark's default: that one lets an executor's tasks hold some
-#: hundreds of MB outside its heap.
+#: Bytes of an Arrow batch between the JVM and Python in jobs that an operator runs itself, where the session keeps Spark's default: that one
+#: lets an executor's tasks hold some hundreds of MB outside its heap.
 BATCH_BYTES, SPARKS_BATCH_BYTES = 8 << 20, 64 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Output batches after which a worker gives back memory.
@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests) a local one is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where none is named and the master is local (tests) a local one is set."""
     sc, configured = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
+        if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
     return configured or sc.getCheckpointDir()
 
@@ -39,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, stored in the shared folder, without their lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with batch_bytes(df.sparkSession, BATCH_BYTES):
+        return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -66,9 +69,9 @@ def give_back_memory() -> None:
 
 @contextlib.contextmanager
 def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
-    """Arrow batches of size bytes for what is run within, unless the session says otherwise."""
+    """Arrow batches of size bytes for what is run within, if the session keeps Spark's default; it has its own setting back afterwards."""
     before = spark.conf.get(_BATCH_KEY)
-    if before.rstrip("b") in (str(SPARKS_BATCH_BYTES), str(BATCH_BYTES)):
+    if before.rstrip("b") == str(SPARKS_BATCH_BYTES):
         spark.conf.set(_BATCH_KEY, str(size))
     try:
         yield
@@ -77,9 +80,7 @@ def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of at most BATCH_BYTES, unless the session says otherwise, whose workers give back memory at their end."""
-    if df.sparkSession.conf.get(_BATCH_KEY).rstrip("b") == str(SPARKS_BATCH_BYTES):
-        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    """df.mapInArrow(run, schema), whose workers give back memory at their end. It runs when its user runs it, with the batch size of that session."""
 
     def then_give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
