@@ -1,5 +1,6 @@
 """URL rules, quality rules, language ID and toxicity."""
 
+import math
 import random
 import re
 
@@ -122,6 +123,64 @@ def test_language(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
+def subwords_by_hand(word):
+    """Each subword of a word with a mark at either end, with the hash that the module states: character by character, multiplied and shifted."""
+    marked = "\n" + word + "\n"
+    for n in language_id.NGRAMS:
+        for k in range(len(marked) - n + 1):
+            part = marked[k : k + n]
+            if "\n" in part[1:-1]:
+                continue
+            hashed = n
+            for c in part:
+                hashed = (hashed ^ ord(c)) * 0x9E3779B97F4A7C15 % (1 << 64)
+                hashed ^= hashed >> 29
+            yield n, hashed >> 64 - language_id.KNOWN_BITS
+
+
+def judged_by_hand(model, text):
+    """Scores of the languages and share of known subwords, one subword at a time."""
+    sums, n, known, tested = [0.0] * len(model.languages), 0, 0, 0
+    for word in text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+        for length, hashed in subwords_by_hand(word) if word else ():
+            n += 1
+            row = model.table[hashed >> language_id.KNOWN_BITS - language_id.BUCKET_BITS]
+            sums = [a + float(b) for a, b in zip(sums, row)]
+            if length >= language_id.KNOWN_CHARS:
+                tested += 1
+                known += int(model.known[hashed >> 3]) >> (hashed & 7) & 1
+    logits = [(a / max(n, 1) + b) / model.temperature for a, b in zip(sums, model.bias)]
+    powers = [math.exp(x - max(logits)) for x in logits]
+    return [x / sum(powers) for x in powers], known / max(tested, 1)
+
+
+def test_language_scores_by_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    texts = [prose(rng, LANGUAGES[lang], rng.randint(3, 30)) for lang in sorted(LANGUAGES) for _ in range(40)]
+    model = language_id.fit(texts, [lang for lang in sorted(LANGUAGES) for _ in range(40)])
+    tried = [*texts[::7], "x", "a b\tc\nd\re", "ÉTÉ été 😀", "中文 字", "the und le", " spaces  twice ", "w" * 300]
+    scores, shares = model.judge(pa.array(tried))
+    for text, got, share in zip(tried, scores, shares):
+        expected, known = judged_by_hand(model, text)
+        assert abs(share - known) < 1e-9 and max(abs(a - b) for a, b in zip(got, expected)) < 1e-5, text
+
+
+def test_many_languages_and_rows_with_one_id(spark):
+    rng = random.Random(32)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [a + b for a in letters for b in letters][:300]
+    words = {name: ["".join(rng.choices(letters, k=6)) for _ in range(6)] for name in names}
+    rows = [(i, prose(rng, words[name], 8), name) for i, name in enumerate(names * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert model.languages == names
+    repeated = [(i % 50, prose(rng, LANGUAGES[lang := rng.choice(sorted(LANGUAGES))], 20), lang) for i in range(400)]
+    learned = [language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n)) for rows, n in ((repeated, 2), (repeated[::-1], 7))]
+    assert (learned[0].table == learned[1].table).all() and learned[0][3:6] == learned[1][3:6]
+
+
 @pytest.mark.parametrize("number", [1, 2, 3])
 def test_unlearned_texts_are_rejected(spark, number):
     rng = random.Random(number)
@@ -173,6 +232,38 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.0}
 
 
+def weight_by_hand(text, lexicon):
+    """Each place of the folded text against each term, one at a time."""
+    folded = toxicity.fold(text)
+    harmless = set()
+    for phrase in map(toxicity.fold, lexicon.exceptions):
+        for at in range(len(folded) - len(phrase) + 1):
+            if phrase and folded[at : at + len(phrase)] == phrase:
+                harmless.update(range(at, at + len(phrase)))
+    total = 0.0
+    for at in range(len(folded)):
+        if at in harmless or at and folded[at - 1].isalpha():
+            continue
+        for term, weight in lexicon.words.items():
+            after = at + len(term)
+            if folded[at:after] == term and (after == len(folded) or not folded[after].isalpha()):
+                total += weight
+        total += sum(w for term, w in lexicon.beginnings.items() if folded[at : at + len(term)] == term)
+    return total
+
+
+def test_matched_weights_by_brute_force():
+    rng = random.Random(41)
+    fold = toxicity.fold
+    lexicon = toxicity.Lexicon({fold("vile"): 1.5, fold("loser"): 2.0, fold("vi"): 0.25}, {fold("vile"): 0.5, fold("los"): 0.125, fold("e"): 4.0}, ("vile duck", "a loser", ""), 1.0)
+    matcher = toxicity.Matcher(lexicon)
+    parts = ["vile", "V1LE", "vi", "loser", "l0$er", "losers", "vile duck", "a loser", " ", " ", ".", "é", "e", "3", "ducks", "\n", "vіle", "İ"]
+    for _ in range(500):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        assert abs(matcher.weight(text) - weight_by_hand(text, lexicon)) < 1e-9, text
+    assert matcher.density("vile") == 2.25 - 0.25 and matcher.density(" ") == 0
+
+
 def test_folding():
     assert toxicity.fold("L0S3R") == toxicity.fold("loser") == toxicity.fold("ｌοѕеr") == "ioser"
     assert len(toxicity.fold("İx1")) == 3

@@ -10,8 +10,9 @@ To predict, embeddings and softmax are multiplied out to a table of one number f
 a batch's texts each different word is looked up once.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected; so is every text if there is nothing to
-learn from; rows that repeat get the same result; only ``doc_id``, ``text`` and, to learn, ``lang`` are read; an empty table
-gives an empty result.
+learn from; rows that repeat get the same result; of rows with one doc_id the one of least lang and text may train; any number of languages
+is learned (with more of them each has fewer rows in the sample; the table takes 128 KB for each); only ``doc_id``, ``text`` and, to
+learn, ``lang`` are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, with_fields
-from .sampling import chosen_ids
+from .sampling import chosen_ids, one_row_each
 
-#: The sample: at most so many rows of each language, of at most so many characters.
+#: The sample: at most so many rows of each language, of at most so many characters; and so many rows in all, but LEAST_ROWS of each language.
 ROWS_PER_LANGUAGE, SAMPLE_CHARS = 512, 16_384
-MAX_LANGUAGES = 256
+SAMPLE_ROWS, LEAST_ROWS = 16_384, 16
 BUCKET_BITS, DIMENSIONS = 15, 16
 NGRAMS = (2, 3, 4)
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.5, 7
@@ -56,7 +57,7 @@ def _subwords(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         for first in range(0, max(last, 0), LOOKED_UP):
             until = min(last, first + LOOKED_UP)
             hashed = np.full(until - first, n, np.uint64)
-            whole = np.ones(until - first, bool)
+            whole = inner[first:until] | inner[first + 1 : until + 1]  # else it is an empty word's
             for k in range(n):
                 hashed = (hashed ^ spread[first + k : until + k]) * np.uint64(0x9E3779B97F4A7C15)
                 hashed ^= hashed >> np.uint64(29)
@@ -145,8 +146,6 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     languages = sorted(set(labels))
     if not languages:
         return None
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages are more than MAX_LANGUAGES")
     rng = np.random.default_rng(SEED)
     target = np.searchsorted(languages, labels)
     bags, hashes = _bags(texts)
@@ -191,13 +190,18 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model | None:
     """The model of a bounded sample of docs (doc_id, text, lang) that are not held out."""
-    fit_for = docs.select("doc_id", "text", "lang").filter(F.length("text") <= sample_chars)
+    fit_for = docs.select("doc_id", "text", "lang").filter((F.length("text") <= sample_chars) & F.col("lang").isNotNull())
     chosen = chosen_ids(fit_for, "lang", rows_per_language)
-    if not chosen:
+    by_language: dict[str, list] = {}
+    for doc_id, lang in chosen:
+        by_language.setdefault(lang, []).append(doc_id)
+    # In order of doc_id, which says nothing of a text: the first ones of each language.
+    most = max(LEAST_ROWS, SAMPLE_ROWS // max(1, len(by_language)))
+    ids = sorted({i for found in by_language.values() for i in found[:most]})
+    if not ids:
         return None
-    found = fit_for.filter(F.col("doc_id").isin([i for i, _ in chosen])).select("doc_id", "text", "lang").limit(2 * len(chosen)).collect()
-    rows = sorted((x["doc_id"], x["lang"], x["text"]) for x in found if x["lang"] is not None)
-    return fit([x[2] for x in rows], [x[1] for x in rows])
+    rows = sorted((x["least"]["lang"], x["doc_id"], x["least"]["text"]) for x in one_row_each(fit_for.select("doc_id", "lang", "text"), ids).collect())
+    return fit([x[2] for x in rows], [x[0] for x in rows])
 
 
 def _verdicts(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

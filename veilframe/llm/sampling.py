@@ -11,6 +11,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def one_row_each(rows: DataFrame, ids: list) -> DataFrame:
+    """doc_id and least, a struct of the other columns, of rows with one of these ids: where an id repeats the least row, whatever the order."""
+    others = [F.col(c) for c in rows.columns if c != "doc_id"]
+    return rows.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct(*others)).alias("least"))
+
+
 def chosen_ids(rows: DataFrame, label: str, per_label: int) -> list[tuple[int, object]]:
     """doc_id and label of at most per_label rows of each label: in each of per_label hash buckets of doc_id the one of least hash.
 

@@ -9,7 +9,7 @@ The lexicon is learned from a bounded sample of labelled rows: the terms whose s
 surely get the weights of a logistic regression without negative weights. The density that parts the sample best gets the score 0.3.
 
 Defined cases: a null or empty text has score 0; so has every text if there is nothing to learn from; rows that repeat get the
-same result; of several labels of a doc_id one counts; only ``doc_id`` and ``text`` (and ``doc_id``, ``toxic`` of the labels)
+same result; of several labels of a doc_id the toxic one counts, of several texts of a doc_id the least one may train; only ``doc_id`` and ``text`` (and ``doc_id``, ``toxic`` of the labels)
 are read; an empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, slices, with_fields
-from .sampling import chosen_ids
+from .sampling import chosen_ids, one_row_each
 
 #: The sample: at most so many rows of either label, of at most so many characters.
 ROWS_PER_LABEL, SAMPLE_CHARS = 4_096, 32_768
@@ -209,8 +209,8 @@ def _scale(densities: list[tuple[float, bool]]) -> float:
 def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL, sample_chars: int = SAMPLE_CHARS, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
     """The lexicon of a bounded sample of the labelled rows that are not held out."""
     chosen = dict(chosen_ids(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "toxic", rows_per_label))
-    sample = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(chosen)) & (F.length("text") <= sample_chars)) if chosen else docs.select("doc_id", "text").limit(0)
-    sample = cut(sample.limit(2 * len(chosen) + 1))
+    fit_for = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars)
+    sample = cut(one_row_each(fit_for, list(chosen)).select("doc_id", "least.text").repartition("doc_id")) if chosen else cut(fit_for.limit(0))
     present = {x["doc_id"] for x in sample.select("doc_id").collect()}
     toxic = [i for i in present if chosen[i] == 1]
     if not toxic or len(toxic) == len(present):
