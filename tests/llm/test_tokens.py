@@ -57,11 +57,10 @@ def test_byte_bpe_of_repeated_ids_and_empty_tables(spark, library):
 
 
 def test_token_store_round_trip(spark, tmp_path):
-    texts = [None, "", *texts_at_random(300, 60), "plain words only " * 400]
+    texts = [None, "", *texts_at_random(300, 60), "plain words only " * 400, "a <|endoftext|> b", "<|startoftext|>", "<|ENDOFTEXT|> x", "<|endoftext", "a<|endoftext|>b <|endoftext|>"]
     path = str(tmp_path / "store")
     token_store.write(frame(spark, texts), path, WORDS, 1)
     library = tokenizers.Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     rows = {r["doc_id"]: r for r in token_store.read(spark, path).collect()}
     start = 0
     for i, text in enumerate(texts):
@@ -77,6 +76,19 @@ def test_token_store_round_trip(spark, tmp_path):
     assert token_store.read(spark, path, []).count() == 0
 
 
+def test_token_store_of_rows_with_one_id(spark, tmp_path):
+    rows = [(None if i % 2 else 4, f"text {i} " * (i % 7)) for i in range(400)]
+    path = str(tmp_path / "store")
+    token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), path, WORDS, 1)
+    got = token_store.read(spark, path).collect()
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    expected = [library.encode(t, add_special_tokens=False).ids + [1] for _, t in rows]
+    assert sorted(r["ids"] for r in got) == sorted(expected)
+    got.sort(key=lambda r: r["start"])
+    assert [r["start"] for r in got] == [sum(len(r["ids"]) for r in got[:i]) for i in range(len(got))]
+    assert [r["doc_id"] for r in got] == [None] * 200 + [4] * 200
+
+
 def test_token_store_of_few_and_of_no_rows(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a"), (2, "b"), (None, "n")], "doc_id long, text string")
     token_store.write(df, str(tmp_path / "few"), WORDS, 1)

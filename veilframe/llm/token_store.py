@@ -13,7 +13,7 @@ File format (all of it in Parquet, so any store that Spark reaches will do, and
   last_doc_id (for pruning) and dict_sha256.
 
 Defined cases: null text is stored like an empty one (just the end id); a null doc_id comes first; rows that repeat are all
-stored; only ``doc_id`` and ``text`` are read; an empty table gives an empty store.
+stored, those with one doc_id in order of a hash of their text; a text of 2^31 ids or more is an error; only ``doc_id`` and ``text`` are read; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch_bytes, map_arrow, slices
+from .sampling import one_row_each
 
-#: The dictionary's sample: this many documents of at most so many characters (those with the least hash of doc_id); its size.
+#: The dictionary's sample: this many documents of at most so many characters (those with the least hash of doc_id; where an id repeats its least text); its size.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_024, 8_192, 64 << 10
 LEVEL = 3
 BLOCK_BYTES, BLOCK_DOCS = 256 << 10, 2_048
@@ -72,7 +73,7 @@ class WordEncoder:
 
     Where a text is of Latin-1 characters alone, without odd white space, lower-casing, normalising and pre-tokenising are done for
     its different words at a time (normalising changes nothing then) and the library's BPE model gets the pre-tokens. Any other text,
-    and any text if the tokenizer is not of that make (``_MAKE``), goes through the library whole. Special tokens' names in a text are ordinary text.
+    any that holds an added token's name, and any text if the tokenizer is not of that make (``_MAKE``), goes through the library whole.
     """
 
     _MAKE = {
@@ -88,11 +89,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
         with open(tokenizer_path) as text:
             made = json.load(text)
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.known_make = made.get("normalizer") == self._MAKE["normalizer"] and steps[0].get("pattern") == self._MAKE["split"] and made["model"]["type"] == "BPE"
+        self.added = [x["content"] for x in made.get("added_tokens", [])]
         self.letters = _byte_letters()
         self._forget()
 
@@ -138,6 +139,8 @@ class WordEncoder:
         """The ids of each text; of a null one none."""
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, self._ODD) if self.known_make else pa.array([True] * len(texts), pa.bool_())
+        for name in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, name, ignore_case=True))
         ids, borders = self._plain(pc.if_else(odd, "", texts))
         for i, whole in enumerate(odd.to_pylist()):
             if whole:
@@ -158,9 +161,9 @@ def _ids_of(encoder: WordEncoder, texts: pa.Array, end_id: int) -> Iterator[np.n
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes: int) -> bytes:
     """However large docs is, at most SAMPLE_DOCS numbers and then SAMPLE_DOCS x SAMPLE_CHARS characters reach the driver. Too few texts to train on: no dictionary (empty)."""
     hashed = F.xxhash64("doc_id")
-    least = docs.groupBy(F.pmod(hashed, F.lit(SAMPLE_DOCS))).agg(F.min(hashed).alias("least")).collect()
-    chosen = docs.filter(hashed.isin([x["least"] for x in least]) & F.length("text").between(1, SAMPLE_CHARS))
-    sample = sorted(x["text"] for x in chosen.select("text").limit(SAMPLE_DOCS).collect())
+    least = docs.filter("doc_id IS NOT NULL").groupBy(F.pmod(hashed, F.lit(SAMPLE_DOCS))).agg(F.min_by("doc_id", F.struct(hashed, "doc_id")).alias("least")).collect()
+    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS))
+    sample = sorted(x["least"]["text"] for x in one_row_each(short, [x["least"] for x in least]).collect()) if least else []
     arrays = [ids.astype(f"<u{id_bytes}").tobytes() for ids in _ids_of(WordEncoder(tokenizer_path), pa.array(sample, pa.string()), end_id)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays, level=LEVEL).as_bytes()
@@ -205,7 +208,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
         if doc_ids:
             yield closed()
 
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows without an id, or with one id, are parted by a hash of their text: else they would meet in one task.
+    ordered = docs.withColumn("k", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "k").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "k").drop("k")
     with batch_bytes(spark, ENCODED_BYTES):
         map_arrow(ordered, blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     head = spark.createDataFrame([(digest, id_bytes, end_id, bytearray(dictionary))], "sha256 string, id_bytes int, end_id int, dictionary binary")
