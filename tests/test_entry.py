@@ -45,3 +45,12 @@ def test_the_rest_stands_without_the_corpus_subpackage(tmp_path):
     assert done.returncode == 0, done.stderr
     n, m, corpus = done.stdout.split()
     assert int(n) >= int(m) > 30 and corpus == "False"
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "ahocorasick", "veilframe.llm"])
+def test_the_core_queries_stand_where_a_library_of_the_corpus_operators_is_missing(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith('op') for k in e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(ROOT)})
+    assert done.returncode == 0, done.stderr
+    n, m, corpus = done.stdout.split()
+    assert int(n) >= int(m) > 30 and corpus == "False"
