@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import filters, gibberish, patterns
 from veilframe.functions.spans import occurrences
 from veilframe.functions.text import is_blank, suffix, wrapped_context
-from veilframe.operators import plugins, rules
+from veilframe.operators import masking, plugins, rules
 
 PY = {
     "EMAIL": patterns.EMAIL, "IP_ADDRESS": patterns.IP, "KEY": patterns.KEY,
@@ -103,6 +103,35 @@ def test_private_networks_are_those_of_ipaddress(spark):
             assert r["bad"] and r["out"]
 
 
+def test_ipv6_addresses_are_what_ipaddress_says(spark):
+    rng = random.Random(6)
+    group = lambda: rng.choice(["0", "1", "00ff", "FFFF", "2001", "db8", "fe80", f"{rng.randrange(65536):x}"])
+    made = []
+    for _ in range(800):
+        parts = [group() for _ in range(rng.randint(0, 9))]
+        if rng.random() < 0.3:
+            parts.append(rng.choice(["1.2.3.4", "10.0.0.1", "8.8.8.8", "256.1.1.1", "1.2.3", "01.2.3.4"]))
+        text = ":".join(parts)
+        at = rng.randrange(len(text) + 1)
+        made.append(text[:at] + rng.choice(["", ":", "::", "::"]) + text[at:] + rng.choice(["", "", "", ":", "%eth0"]))
+    networks = [ipaddress.ip_network(x) for x in (*filters.PRIVATE_V6, *filters.NOT_PRIVATE_V6, filters.MAPPED)]
+    border = [n for x in networks for n in (int(x[0]) - 1, int(x[0]), int(x[-1]), int(x[-1]) + 1) if 0 <= n < 1 << 128]
+    made += [str(ipaddress.IPv6Address(n)) for n in border + [rng.randrange(1 << 128) for _ in range(100)]] + ["::", "::1", ":", ":::", "1::2::3", "::ffff:10.1.1.1", "::ffff:8.8.8.8", "::1.2.3.4"]
+    made = [x for x in made if ":" in x]
+    assert len(made) > 700
+
+    def kind(text):
+        try:
+            return "private" if ipaddress.ip_address(text).is_private else "public"
+        except ValueError:
+            return "invalid"
+
+    rows = frame(spark, made).select("text", filters.address_kind(F.col("text")).alias("k"), filters.excluded_address(F.col("text")).alias("out"), filters.not_an_address(F.col("text")).alias("bad")).collect()
+    for r in rows:
+        assert r["k"] == kind(r["text"]) and r["out"] == (r["k"] != "public") and r["bad"] == (r["k"] == "invalid"), r["text"]
+    assert {r["k"] for r in rows} == {"invalid", "private", "public"}
+
+
 @pytest.mark.parametrize("separator", ["/", "\\/"])
 @pytest.mark.parametrize("home", ["/home/jdoe42", "/Users/j.doe+x", "/home/team/jdoe42/", "/jdoe42"])
 def test_home_names(spark, home, separator):
@@ -164,6 +193,12 @@ def test_what_a_text_needs_loses_no_finding(spark):
     assert all(r["a"] == r["b"] for r in rows) and sum(bool(r["a"]) for r in rows) > 80
 
 
+def test_functions_without_an_alias(spark):
+    df = frame(spark, ["a@b.example 81.2.69.160 /home/jdoe42/x a1b2c3d4e5"])
+    for column in (rules.email_spans(F.col("text")), rules.ip_spans(F.col("text")), rules.key_spans(F.col("text"), MODEL), rules.home_name_spans(F.col("text"), "/home/jdoe42"), plugins.plugin_keys(F.col("text"), MODEL), masking.mask_spans(F.col("text"), rules.ip_spans(F.col("text")))):
+        assert df.select(column).count() == 1 and df.select(column).collect()
+
+
 def test_text_functions(spark):
     names = {"a.py": ".py", "x/a.tar.gz": ".gz", ".bashrc": "", "a.": "", "d.e/f": "", "x/.y.z": ".z"}
     got = {r["text"]: r["s"] for r in frame(spark, list(names)).select("text", suffix(F.col("text")).alias("s")).collect()}

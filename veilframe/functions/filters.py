@@ -5,11 +5,10 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .spans import let
 from .text import count_of, wrapped_context
 
 # Public resolvers that are no finding, and what the name of a tag or a line says.
@@ -27,6 +26,10 @@ PRIVATE_NETWORKS = (
     "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
 )
 NOT_PRIVATE = ("192.0.0.9", "192.0.0.10")
+# The same for IPv6. An address that stands for an IPv4 one (MAPPED) is what that one is.
+PRIVATE_V6 = ("::1/128", "::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10")
+NOT_PRIVATE_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+MAPPED = "::ffff:0:0/96"
 
 
 def has_digit(value: Column) -> Column:
@@ -54,45 +57,70 @@ def _valid_v4(value: Column) -> Column:
     return value.rlike(rf"^(?:{octet}\.){{3}}{octet}$")
 
 
-def kind_of(value: str | None) -> str | None:
-    """invalid, private or public; null for null."""
-    if value is None:
-        return None
-    try:
-        return "private" if ipaddress.ip_address(value).is_private else "public"
-    except ValueError:
-        return "invalid"
+def _number(value: Column) -> Column:
+    return F.aggregate(F.split(value, "[.]"), F.lit(0).cast("long"), lambda a, x: a * 256 + x.try_cast("long"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def v6_kinds(rows: pd.Series) -> pd.Series:
-    """The kinds of each row's addresses; a row without IPv6 addresses should be null."""
-    return rows.map(lambda row: row if row is None else [kind_of(x) for x in row])
+def _digits(network: str) -> tuple[str, str]:
+    """First and last address of an IPv6 network as 32 hexadecimal digits."""
+    found = ipaddress.ip_network(network)
+    return f"{int(found[0]):032x}", f"{int(found[-1]):032x}"
 
 
-def _number(value: Column) -> Column:
-    return F.aggregate(F.split(value, "[.]"), F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
+def _v6_digits(value: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, or null if it is none."""
+    bare = F.lower(F.substring_index(value, "%", 1))
+    tail = F.substring_index(bare, ":", -1)
+    with_v4 = F.contains(tail, F.lit("."))
+    number = _number(tail)
+    pair = F.concat_ws(":", F.conv(F.shiftright(number, 16).cast("string"), 10, 16), F.conv(number.bitwiseAND(0xFFFF).cast("string"), 10, 16))
+    plain = F.when(~with_v4, bare).when(_valid_v4(tail), F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(tail)), F.lower(pair)))
+
+    def padded(sides: Column) -> Column:
+        groups = lambda i: F.when(F.get(sides, i) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(sides, i), ":"))
+        left, right = groups(F.lit(0)), F.when(F.size(sides) == 2, groups(F.lit(1))).otherwise(F.array().cast("array<string>"))
+        missing = 8 - F.size(left) - F.size(right)
+        fits = F.when(F.size(sides) == 1, missing == 0).otherwise((F.size(sides) == 2) & (missing >= 1))
+        well = F.forall(sides, lambda x: x.rlike("^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?$"))
+        return F.when(well & fits, F.array_join(F.transform(F.concat(left, F.array_repeat(F.lit("0"), missing), right), lambda x: F.lpad(x, 4, "0")), ""))
+
+    return let(F.split(plain, "::", -1), padded)
+
 
+def _v6_kind(digits: Column) -> Column:
+    inside = lambda networks: _any(digits.between(*_digits(x)) for x in networks)
+    low = F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")
+    private = F.when(digits.between(*_digits(MAPPED)), _private_number(low)).otherwise(inside(PRIVATE_V6) & ~inside(NOT_PRIVATE_V6))
+    return F.when(digits.isNull(), "invalid").when(private, "private").otherwise("public")
 
-def _private_v4(value: Column) -> Column:
-    number = _number(value)
+
+def _any(conditions) -> Column:
     found = F.lit(False)
-    for network in map(ipaddress.ip_network, PRIVATE_NETWORKS):
-        found = found | number.between(int(network[0]), int(network[-1]))
-    return found & ~value.isin(*NOT_PRIVATE)
+    for condition in conditions:
+        found = found | condition
+    return found
+
+
+def _private_number(number: Column) -> Column:
+    inside = _any(number.between(int(x[0]), int(x[-1])) for x in map(ipaddress.ip_network, PRIVATE_NETWORKS))
+    return inside & ~number.isin(*(int(ipaddress.ip_address(x)) for x in NOT_PRIVATE))
+
+
+def address_kind(value: Column) -> Column:
+    """invalid, private or public."""
+    v4 = F.when(~_valid_v4(value), "invalid").when(let(_number(value), _private_number), "private").otherwise("public")
+    return F.when(F.contains(value, F.lit(":")), let(_v6_digits(value), _v6_kind)).otherwise(v4)
 
 
-def not_an_address(value: Column, kind: Column | None = None) -> Column:
-    """kind: what v6_kinds says of the value; without it no IPv6 address is taken for valid."""
-    v6_bad = F.lit(True) if kind is None else F.coalesce(kind == "invalid", F.lit(True))
-    return F.when(_is_v6(value), v6_bad).otherwise(~_valid_v4(value))
+def not_an_address(value: Column, v6: bool = True) -> Column:
+    """v6: else no IPv6 address is taken for one."""
+    return F.when(_is_v6(value), address_kind(value) == "invalid" if v6 else F.lit(True)).otherwise(~_valid_v4(value))
 
 
-def excluded_address(value: Column, kind: Column | None = None) -> Column:
+def excluded_address(value: Column, v6: bool = True) -> Column:
     """No address, a private one, or a public resolver."""
-    v6_out = F.lit(True) if kind is None else F.coalesce(kind != "public", F.lit(True))
-    v4_out = F.when(_valid_v4(value), _private_v4(value)).otherwise(True)
-    return F.when(_is_v6(value), v6_out).otherwise(v4_out) | value.isin(*DNS_SERVERS)
+    kept = address_kind(value) == "public"
+    return ~(kept if v6 else kept & ~_is_v6(value)) | value.isin(*DNS_SERVERS)
 
 
 def on_hash_line(text: Column, value: Column) -> Column:
@@ -111,13 +139,13 @@ def dense_in_hashes(text: Column, share: float = HASH_SHARE) -> Column:
     return (count_of(lowered, "sha") > limit) | (count_of(lowered, "hash") > limit)
 
 
-def is_address_finding(text: Column, x: Column, kind: Column | None = None) -> Column:
+def is_address_finding(text: Column, x: Column, v6: bool = True) -> Column:
     """The filters of a regex IP finding x (a span)."""
-    return has_digit(x["value"]) & ~looks_like_date(x["value"]) & ~looks_like_version(x["value"], wrapped_context(text, x["start"], x["end"])) & ~not_an_address(x["value"], kind)
+    return has_digit(x["value"]) & ~looks_like_date(x["value"]) & ~looks_like_version(x["value"], wrapped_context(text, x["start"], x["end"])) & ~not_an_address(x["value"], v6)
 
 
-def keep_entity(tag: Column, value: Column, gibberish: Callable[[Column], Column], kind: Column | None = None) -> Column:
+def keep_entity(tag: Column, value: Column, gibberish: Callable[[Column], Column]) -> Column:
     """Whether a model's entity is reported."""
     words = F.size(F.array_remove(F.split(value, r"(?U)[\s\x1c-\x1f]+"), ""))
-    by_tag = F.when(tag == "IP_ADDRESS", ~excluded_address(value, kind)).when(tag == "KEY", (F.length(value) > 8) & gibberish(F.lower(value))).when(tag == "NAME", words > 1).otherwise(True)
+    by_tag = F.when(tag == "IP_ADDRESS", ~excluded_address(value)).when(tag == "KEY", (F.length(value) > 8) & gibberish(F.lower(value))).when(tag == "NAME", words > 1).otherwise(True)
     return F.when(tag.isin(*DROPPED_TAGS) | (F.length(value) <= 3), False).otherwise(by_tag)

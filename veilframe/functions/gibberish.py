@@ -10,6 +10,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import let
+
 #: A text is gibberish over this score.
 LIMIT = 4.0
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -25,15 +27,25 @@ class BigramModel(NamedTuple):
     limit: float = LIMIT
     skip: bool = True
 
+    def _table(self) -> Column:
+        """-ln p of each pair of the charset's characters, in order; folded to one constant."""
+        costs = (-self.log_p.get(a + b, self.floor) for a in self.charset for b in self.charset)
+        return F.split(F.lit(",".join(map(repr, map(float, costs)))), ",").cast("array<double>")
+
     def score(self, text: Column) -> Column:
         """Null for a text with no bigram."""
         inside = "".join(f"\\{c}" if not c.isalnum() else c for c in self.charset)
-        table = F.create_map(*(x for k, v in sorted(self.log_p.items()) for x in (F.lit(k), F.lit(v)))) if self.log_p else F.expr("CAST(map() AS map<string,double>)")
-        whole = F.regexp_replace(text, f"[^{inside}]+", "" if self.skip else " ")
-        pairs = F.when(F.length(whole) >= 2, F.transform(F.sequence(F.lit(1), F.length(whole) - 1), lambda i: F.substring(whole, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-        pairs = F.filter(pairs, lambda x: ~F.contains(x, F.lit(" ")))
-        total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a - F.coalesce(F.element_at(table, x), F.lit(self.floor)))
-        return F.when(F.size(pairs) > 0, total / F.size(pairs))
+        whole = F.regexp_replace(text, f"[^{inside}]+", "" if self.skip else "\n")
+        table, n = self._table(), len(self.charset)
+        codes = F.transform(F.array_remove(F.split(whole, ""), ""), lambda c: F.instr(F.lit(self.charset), c) - 1)
+
+        def mean(c: Column) -> Column:
+            later = F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
+            costs = F.zip_with(F.slice(c, 1, F.size(later)), later, lambda a, b: F.when((a >= 0) & (b >= 0), F.get(table, a * n + b)))
+            known = F.array_compact(costs)
+            return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+
+        return F.when(F.length(whole) >= 2, let(codes, mean))
 
     def is_gibberish(self, text: Column) -> Column:
         return F.coalesce(self.score(text) > self.limit, F.lit(False))

@@ -24,9 +24,15 @@ EMAIL = (
 KEY = FLAGS + r"((?!(?:/[^ .]+){2}))((?:(?:[A-Za-z]+[\p{Nd}\p{Pd}/+=:_]+|[\p{Nd}\p{Pd}/+=:]+[A-Za-z]+)){4,})($|[\x08\s\p{IsHan}@?,!;:'\")(.])"
 KEY_PYTHON = r"(?m)(?!(?:/[^ .]+){2})((?:(?:[A-Za-z]+[\p{Nd}\p{Pd}/+=:_]+|[\p{Nd}\p{Pd}/+=:]+[A-Za-z]+)){4,})(?:$|[\x08\s\p{Han}@?,!;:'\")(.])"
 
-#: What a text with a finding holds at least; far cheaper than the patterns themselves.
-IP_NEEDS = r"[0-9]\.[0-9]|:[0-9a-fA-F:%]"
-KEY_NEEDS = r"[A-Za-z][\p{Nd}\p{Pd}/+=:_]++[A-Za-z]"
+# What a text with a finding holds at least; far cheaper to see than the patterns themselves.
+#: Of IP also "::" and "fe80:", which are no regular expression.
+IP_NEEDS = r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]|(?:[0-9a-fA-F]{1,4}:){7}"
+IP_NEEDS_ONE_OF = ("::", "fe80:")
+_KEY_SIGNS = r"[\p{Nd}\p{Pd}/+=:_]"
+#: What follows the start of a key, seen without going back: four letters and four other signs, with nothing else between.
+KEY_FOLLOWS = rf"(?=(?:{_KEY_SIGNS}*+[A-Za-z]){{4}})(?=(?:[A-Za-z]*+{_KEY_SIGNS}){{4}})"
+KEY_NEEDS = rf"(?U)(?<![A-Za-z\p{{Nd}}\p{{Pd}}/+=:_]){KEY_FOLLOWS}"
+KEY_QUICK = KEY.replace(FLAGS, FLAGS + KEY_FOLLOWS, 1)
 
 #: Where the key pattern would recurse too deeply.
-LONG_RUN = r"(?U)\S{1000}"
+LONG_RUN = r"(?U)(?<!\S)\S{1000}"

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Noncharacters that mark the edges of a finding; where a text has them, others stand in for them while it is searched.
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
+#: Pieces of a text that are gone through at a time, at least; an even number, as every second piece is a finding.
+BLOCK = 16
 SPAN = "struct<tag:string,value:string,start:int,end:int>"
 NONE = f"CAST(array() AS array<{SPAN}>)"
 
@@ -28,15 +30,36 @@ def span(tag: Column | str, value: Column, start: Column, end: Column) -> Column
 
 
 def _alternate(pieces: Column, text: Column, tag: str) -> Column:
-    """The spans of every second piece of text, from the second on."""
-    state = f"named_struct('at', 0, 'odd', false, 'found', {NONE})"
+    """The spans of every second piece of text, from the second on.
 
-    def step(s: Column, piece: Column) -> Column:
-        until = s["at"] + F.length(piece)
-        found = F.when(s["odd"], F.concat(s["found"], F.array(span(tag, F.substring(text, s["at"] + 1, F.length(piece)), s["at"], until)))).otherwise(s["found"])
-        return F.struct(until.alias("at"), (~s["odd"]).alias("odd"), found.alias("found"))
+    Pieces are gone through in blocks: a list that grows is copied at each step, so its length must stay small.
+    """
 
-    return F.aggregate(pieces, F.expr(state), step, lambda s: s["found"])
+    def at_odd(block: Column, base: Column, value: Callable[[Column, Column], Column]) -> Column:
+        def step(s: Column, piece: Column) -> Column:
+            until = s["at"] + F.length(piece)
+            found = F.when(s["odd"], F.concat(s["found"], F.array(span(tag, value(s["at"], piece), s["at"], until)))).otherwise(s["found"])
+            return F.struct(until.alias("at"), (~s["odd"]).alias("odd"), found.alias("found"))
+
+        state = F.struct(base.alias("at"), F.lit(False).alias("odd"), no_spans().alias("found"))
+        return F.aggregate(block, state, step, lambda s: s["found"])
+
+    def all_blocks(pieces: Column, value: Callable[[Column, Column], Column]) -> Column:
+        # About as many blocks as pieces in one, so that neither grows fast.
+        size = F.greatest(F.floor(F.sqrt(F.size(pieces)) / 4) * 2, F.lit(BLOCK)).cast("int")
+        blocks = let(size, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / n).cast("int")), lambda k: F.slice(pieces, k * n + 1, n)))
+
+        def placed(blocks: Column) -> Column:
+            lengths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, piece: n + F.length(piece)))
+            bases = let(lengths, lambda n: F.transform(n, lambda _, k: F.aggregate(F.slice(n, 1, k), F.lit(0), lambda a, x: a + x)))
+            return F.flatten(F.zip_with(blocks, bases, lambda block, base: at_odd(block, base, value)))
+
+        return F.when(F.size(pieces) <= BLOCK, at_odd(pieces, F.lit(0), value)).otherwise(let(blocks, placed))
+
+    # A piece is the value itself, unless the text holds the noncharacters: looking it up by its place takes longer the later it stands.
+    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
+    by_place = all_blocks(pieces, lambda at, piece: F.substring(text, at + 1, F.length(piece)))
+    return F.when(marked, by_place).otherwise(all_blocks(pieces, lambda at, piece: piece))
 
 
 def extract(text: Column, pattern: str, tag: str) -> Column:
@@ -50,13 +73,8 @@ def extract(text: Column, pattern: str, tag: str) -> Column:
 def occurrences(text: Column, value: Column, tag: str = "KEY") -> Column:
     """Spans of all non-overlapping occurrences of a literal value; none for an empty or null one."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    pieces = F.split(text, quoted, -1)
-
-    def step(s: Column, piece: Column) -> Column:
-        at = s["at"] + F.length(piece)
-        return F.struct((at + F.length(value)).alias("at"), F.concat(s["found"], F.array(span(tag, value, at, at + F.length(value)))).alias("found"))
-
-    found = F.aggregate(pieces, F.expr(f"named_struct('at', 0, 'found', {NONE})"), step, lambda s: F.slice(s["found"], 1, F.size(s["found"]) - 1))
+    in_turn = F.flatten(F.transform(F.split(text, quoted, -1), lambda piece: F.array(piece, value)))
+    found = let(in_turn, lambda p: _alternate(F.slice(p, 1, F.size(p) - 1), text, tag))
     return F.when(F.coalesce(F.length(value), F.lit(0)) == 0, no_spans()).when(~F.contains(text, value), no_spans()).otherwise(F.coalesce(found, no_spans()))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: what str.strip() and str.split() take for white space beyond the regex class.
-BLANK = r"(?U)^[\s\x1c-\x1f]*$"
+#: Fixed value: no white space, of which str.strip() and str.split() know more than the regex class.
+NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -15,7 +15,7 @@ def normalize_newlines(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(BLANK)
+    return ~F.coalesce(text, F.lit("")).rlike(NOT_BLANK)
 
 
 def suffix(filename: Column) -> Column:

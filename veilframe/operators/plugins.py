@@ -1,6 +1,8 @@
 """Credential plugins: shapes of tokens, the entropy of quoted strings, and filters on both.
 
-The shapes are of public token formats, written from their public descriptions; they approximate what other scanners do.
+The shapes are of public token formats, written from their issuers' public descriptions (the header of a JSON web token, RFC 7519; the
+prefixes of AWS, GitHub, Slack, Stripe, SendGrid, Twilio, npm and Azure keys); plugin and filter names are those of a public scanner of
+that kind, which the shapes approximate.
 """
 
 from __future__ import annotations
@@ -55,6 +57,12 @@ PLUGINS = (
     Plugin("StripeDetector", r"((?:r|s)k_live_[0-9a-zA-Z]{24})", needs=("k_live_",)),
     Plugin("TwilioKeyDetector", r"((?:AC|SK)[a-z0-9]{32})(?![a-z0-9])", needs=("AC", "SK")),
 )
+#: What a text with a secret holds at least, of any plugin: a long run, a quoted one, or the beginning of a format whose runs may be short.
+#: One pass over a text, where the plugins take one each.
+NEEDS = (
+    r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{20}|['\"][A-Za-z0-9+/\-_]{8,}+={0,2}['\"]|eyJ[A-Za-z0-9\-_=]|xox[abpors]-\d"
+    r"|AKC[a-zA-Z0-9]{10}|AP[\dABCDEF][a-zA-Z0-9]{8}|AccountKey=|:_authToken=|hooks\.slack\.com|[cC][lL][oO][uU][dD][aA][nN][tT]"
+)
 # What the filters look for.
 UUID = r"(?i)[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}"
 ID_NAME = r"(?i)(?:^(?:id|myid|userid)|_id)s?[\"']?\s*[:=]\s*[\"']?$"
@@ -107,12 +115,12 @@ def is_noise(text: Column, value: Column) -> Column:
 
 def plugin_values(text: Column, plugins: tuple[Plugin, ...] = PLUGINS) -> Column:
     """The different secrets that the plugins find in a text and the filters leave."""
-    found = []
+    found, none = [], F.array().cast("array<string>")
     for p in plugins:
         values = F.regexp_extract_all(text, F.lit(p.pattern), F.lit(1))
         if p.needs:
             seen = F.lower(text) if p.folded else text
-            values = F.when(reduce(Column.__or__, (F.contains(seen, F.lit(x)) for x in p.needs)), values).otherwise(F.array().cast("array<string>"))
+            values = F.when(reduce(Column.__or__, (F.contains(seen, F.lit(x)) for x in p.needs)), values).otherwise(none)
         if p.kind == "hex":
             values = _over(values, hex_entropy, p.entropy)
         elif p.entropy:
@@ -120,8 +128,8 @@ def plugin_values(text: Column, plugins: tuple[Plugin, ...] = PLUGINS) -> Column
         elif p.kind == "jwt":
             values = F.filter(values, is_jwt)
         found.append(values)
-    every = F.array_distinct(F.flatten(F.array(*found)))
-    return F.filter(every, lambda v: (v != "") & ~is_noise(text, v))
+    every = F.filter(F.array_distinct(F.flatten(F.array(*found))), lambda v: (v != "") & ~is_noise(text, v))
+    return F.when(text.rlike(NEEDS), every).otherwise(none) if set(plugins) <= set(PLUGINS) else every
 
 
 def _over(values: Column, measure: Callable[[Column], Column], bound: float) -> Column:
@@ -131,8 +139,11 @@ def _over(values: Column, measure: Callable[[Column], Column], bound: float) ->
 def plugin_keys(text: Column, model: BigramModel, suffix: Column | None = None, plugins: tuple[Plugin, ...] = PLUGINS) -> Column:
     """Spans of all occurrences of the secrets, but for words, digests on a line that names them, and texts full of hashes."""
     values = F.filter(plugin_values(text, plugins), lambda v: model.is_gibberish(F.lower(v)) & ~filters.on_hash_line(text, v))
-    spans = let(values, lambda vs: F.flatten(F.transform(vs, lambda v: occurrences(text, v))))
-    skipped = text.isNull() | filters.dense_in_hashes(text)
+    skipped = filters.dense_in_hashes(text)
     if suffix is not None:
         skipped = skipped | F.lower(suffix).isin(*BINARY_SUFFIXES)
-    return F.when(skipped, no_spans()).otherwise(spans)
+
+    def spans(vs: Column) -> Column:
+        return F.when((F.size(vs) < 1) | skipped, no_spans()).otherwise(F.flatten(F.transform(vs, lambda v: occurrences(text, v))))
+
+    return F.coalesce(let(values, spans), no_spans()).alias("plugin_keys")

@@ -32,27 +32,20 @@ def email_spans(text: Column) -> Column:
 
 
 def raw_ip_spans(text: Column) -> Column:
-    return F.when(text.rlike(patterns.IP_NEEDS), extract(text, patterns.IP, "IP_ADDRESS")).otherwise(no_spans())
+    needed = text.rlike(patterns.IP_NEEDS)
+    for part in patterns.IP_NEEDS_ONE_OF:
+        needed = needed | F.contains(text, F.lit(part))
+    return F.when(needed, extract(text, patterns.IP, "IP_ADDRESS")).otherwise(no_spans())
 
 
 def ip_spans(text: Column, public_only: bool = False, v6: bool = True) -> Column:
-    """IP findings; public_only leaves out private addresses and public resolvers too.
+    """IP findings; public_only leaves out private addresses and public resolvers too. v6: whether addresses with a colon are reported."""
 
-    v6: whether addresses with a colon are looked at, by Python's ipaddress in an Arrow function that gets the few rows that have one;
-    else they are left out, and the plan stays within the JVM.
-    """
+    def keep(x: Column) -> Column:
+        kept = filters.is_address_finding(text, x, v6)
+        return kept & ~filters.excluded_address(x["value"], v6) if public_only else kept
 
-    def keep(x: Column, kind: Column | None) -> Column:
-        kept = filters.is_address_finding(text, x, kind)
-        return kept & ~filters.excluded_address(x["value"], kind) if public_only else kept
-
-    found = raw_ip_spans(text)
-    if not v6:
-        return let(found, lambda spans: F.filter(spans, lambda x: keep(x, None)))
-    values = F.transform(found, lambda x: F.when(F.contains(x["value"], F.lit(":")), x["value"]))
-    kinds = filters.v6_kinds(F.when(F.exists(found, lambda x: F.contains(x["value"], F.lit(":"))), values))
-    both = F.arrays_zip(found.alias("s"), F.coalesce(kinds, F.transform(found, lambda x: F.lit(None).cast("string"))).alias("k"))
-    return F.transform(F.filter(both, lambda x: keep(x["s"], x["k"])), lambda x: x["s"])
+    return let(raw_ip_spans(text), lambda spans: F.filter(spans, keep)).alias("ip_spans")
 
 
 _FOUND = T.StructType([T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -68,11 +61,11 @@ def raw_key_spans(text: Column) -> Column:
     """Key-shaped spans. Texts with unbroken runs on which Java would recurse too deeply go to Python's regex module."""
     is_long = (F.length(text) >= 1_000) & text.rlike(patterns.LONG_RUN)
     by_python = F.transform(_long_key_spans(F.when(is_long, text)), lambda x: span("KEY", x["value"], x["start"], x["end"]))
-    return F.coalesce(F.when(is_long, by_python).when(text.rlike(patterns.KEY_NEEDS), extract(text, patterns.KEY, "KEY")), no_spans())
+    return F.coalesce(F.when(is_long, by_python).when(text.rlike(patterns.KEY_NEEDS), extract(text, patterns.KEY_QUICK, "KEY")), no_spans())
 
 
 def key_spans(text: Column, model: BigramModel) -> Column:
-    return F.filter(raw_key_spans(text), lambda x: model.is_gibberish(F.lower(x["value"])))
+    return F.filter(raw_key_spans(text), lambda x: model.is_gibberish(F.lower(x["value"]))).alias("key_spans")
 
 
 def home_name_spans(text: Column, home_directory: str | None = None) -> Column:
@@ -82,7 +75,8 @@ def home_name_spans(text: Column, home_directory: str | None = None) -> Column:
     if not name or name.casefold() in SHARED_ACCOUNTS:
         return no_spans()
     quoted = "".join(r"\\?/" if c == "/" else "\\Q" + c + "\\E" if not c.isalnum() else c for c in folder + slash)
-    return extract(text, rf"({quoted})({re.sub(r'([^A-Za-z0-9])', lambda m: chr(92) + 'Q' + m[1] + chr(92) + 'E', name)})()", "NAME")
+    found = extract(text, rf"({quoted})({re.sub(r'([^A-Za-z0-9])', lambda m: chr(92) + 'Q' + m[1] + chr(92) + 'E', name)})()", "NAME")
+    return F.when(F.contains(text, F.lit(name)), found).otherwise(no_spans())
 
 
 def rule_spans(text: Column, model: BigramModel, key_detector: KeyDetector = "detect-secrets", suffix: Column | None = None, home_directory: str | None = None, v6: bool = True) -> Column:
