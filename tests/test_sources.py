@@ -3,6 +3,7 @@
 import random
 import re
 
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,9 +92,17 @@ def test_both_branches_merge(spark):
 
 def test_rule_plans_have_no_shuffle(spark):
     plan = scan(texts(spark), SETTINGS)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-    no_python = scan(texts(spark), SETTINGS._replace(v6=False))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow", no_python)
+    assert not re.search("Exchange|Python|Arrow", plan)
+    assert plan.count("fe80:(?::[0-9a-fA-F]{0,4})") == 1  # the address pattern runs once
+    model = scan(texts(spark), SETTINGS._replace(backend=FakeBackend(["O", "B-NAME"])))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in model and model.count("MapInArrow") == 1
+
+
+def test_the_tags_that_are_looked_for(spark):
+    for tags in (("EMAIL",), ("NAME", "IP_ADDRESS"), ()):
+        assert {r["type"] for r in scan(texts(spark), SETTINGS._replace(tags=tags)).collect()} == set(tags)
+    with pytest.raises(ValueError):
+        scan(texts(spark), SETTINGS._replace(tags=("PHONE",)))
 
 
 def test_streams(spark, tmp_path):
@@ -105,8 +114,10 @@ def test_streams(spark, tmp_path):
     query = mask_stream(stream, SETTINGS).writeStream.format("memory").queryName("masked").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("masked").filter(F.col("masked").contains("EMAIL_MASK")).count() == 2
-    with pytest.raises(ValueError):
-        scan_stream(stream, SETTINGS._replace(backend=FakeBackend(["O"])))
+    both = SETTINGS._replace(backend=FakeBackend(["O", "B-NAME", "I-NAME"]))
+    query = scan_stream(stream, both).writeStream.format("memory").queryName("both").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("both").count() == scan(texts(spark), both).count()
 
 
 def test_sql_functions(spark):

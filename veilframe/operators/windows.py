@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import filters
 from ..functions.gibberish import BigramModel
-from ..functions.text import context
+from ..functions.spans import no_spans, span
 
 KEYS = ["doc_id", "segment_no"]
 TOKENS = "input_ids array<int>, offset_mapping array<struct<s:int,e:int>>"
@@ -68,20 +70,44 @@ class OnnxBackend:
         return [p[: len(w)] for p, w in zip(powers / powers.sum(axis=-1, keepdims=True), windows)]
 
 
-def word_tokens(df: DataFrame, vocabulary: int = 1 << 15) -> DataFrame:
-    """df with tokens: its words (between white space), their ids (a hash) and offsets in code points. In the JVM alone."""
-    pieces = F.regexp_extract_all("text", F.lit(r"\S+|\s+"), F.lit(0))
-    state = F.expr("named_struct('at', 0, 'found', CAST(array() AS array<struct<id:int,s:int,e:int>>))")
+#: Characters of context on either side of an entity.
+AROUND = 50
+#: Texts that a tokenizer gets at a time, and characters after which no more are taken.
+TOKENIZED_TEXTS, TOKENIZED_CHARS = 64, 1 << 22
 
-    def step(s: Column, x: Column) -> Column:
-        until = s["at"] + F.length(x)
-        token = F.struct(F.pmod(F.xxhash64(x), F.lit(vocabulary)).cast("int").alias("id"), s["at"].alias("s"), until.alias("e"))
-        return F.struct(until.alias("at"), F.when(x.rlike(r"\S"), F.concat(s["found"], F.array(token))).otherwise(s["found"]).alias("found"))
 
-    tokens = F.aggregate(pieces, state, step, lambda s: s["found"])
-    with_tokens = df.withColumn("tokens", tokens)
-    ids, offsets = F.transform("tokens", lambda t: t["id"]), F.transform("tokens", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e")))
-    return with_tokens.withColumns({"input_ids": ids, "offset_mapping": offsets}).drop("tokens")
+def _hashed(word: str, vocabulary: int = 1 << 15) -> int:
+    signed = xxhash.xxh64_intdigest(word, 42)
+    return (signed - (1 << 64) if signed >> 63 else signed) % vocabulary
+
+
+class WordTokens(NamedTuple):
+    """A tokenizer: a text's words (between ASCII white space), their ids and offsets in code points."""
+
+    id_of: Callable[[str], int] = _hashed
+
+    def __call__(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
+        found = [list(_WORD.finditer(text)) for text in texts]
+        return [([self.id_of(m.group()) for m in words], [m.span() for m in words]) for words in found]
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+class LibraryTokens(NamedTuple):
+    """A tokenizer: what the tokenizers library makes of a text by a file, without special tokens. The file must be on every executor.
+
+    prefix_space sets add_prefix_space where the file's pre-tokenizer itself (not one within a sequence) has that option; offsets are the text's own.
+    """
+
+    path: str
+    prefix_space: bool = True
+
+    def __call__(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
+        return [(x.ids, x.offsets) for x in _tokenizer(self.path, self.prefix_space).encode_batch(texts, add_special_tokens=False)]
+
+
+Tokenize = Callable[[list[str]], list[tuple[list[int], list[tuple[int, int]]]]]
 
 
 @lru_cache(maxsize=2)
@@ -96,26 +122,44 @@ def _tokenizer(path: str, prefix_space: bool):
     return Tokenizer.from_str(json.dumps(spec))
 
 
-def library_tokens(df: DataFrame, tokenizer_path: str, prefix_space: bool = True) -> DataFrame:
-    """df with the ids and offsets that the tokenizers library gives its text, without special tokens. The file must be on every executor.
+def _some_texts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of batch of bounded size; at: the place of the text."""
+    first, held = 0, 0
+    for row, text in enumerate(batch.column(at)):
+        size = 0 if text.as_py() is None else len(text.as_py())
+        if row > first and (held + size > TOKENIZED_CHARS or row - first >= TOKENIZED_TEXTS):
+            yield batch.slice(first, row - first)
+            first, held = row, 0
+        held += size
+    if first < batch.num_rows:
+        yield batch.slice(first)
 
-    prefix_space sets add_prefix_space where the file's pre-tokenizer itself (not one within a sequence) has that option; offsets are the text's own.
-    """
+
+def tokens(df: DataFrame, tokenize: Tokenize) -> DataFrame:
+    """df with input_ids and offset_mapping, the tokens of its text."""
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(TOKENS).fields])
-    names = [*df.columns, "input_ids", "offset_mapping"]
+    names, at = [*df.columns, "input_ids", "offset_mapping"], df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path, prefix_space)
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
-                found = tokenizer.encode_batch([x or "" for x in part.column("text").to_pylist()], add_special_tokens=False)
-                offsets = [[{"s": a, "e": b} for a, b in x.offsets] for x in found]
-                yield pa.record_batch([*part.columns, pa.array([x.ids for x in found], pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], names=names)
+            for part in _some_texts(batch, at):
+                found = tokenize([x or "" for x in part.column(at).to_pylist()])
+                offsets = [[{"s": a, "e": b} for a, b in spans] for _, spans in found]
+                yield pa.record_batch([*part.columns, pa.array([ids for ids, _ in found], pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], names=names)
 
     return df.mapInArrow(run, schema)
 
 
+def word_tokens(df: DataFrame, id_of: Callable[[str], int] = _hashed) -> DataFrame:
+    """df with the tokens that WordTokens finds in its text."""
+    return tokens(df, WordTokens(id_of))
+
+
+def library_tokens(df: DataFrame, tokenizer_path: str, prefix_space: bool = True) -> DataFrame:
+    """df with the tokens that LibraryTokens finds in its text."""
+    return tokens(df, LibraryTokens(tokenizer_path, prefix_space))
+
+
 def token_windows(df: DataFrame, window_size: int = 512, overlap: int = 0) -> DataFrame:
     """A row for each window of df's input_ids: offset (of its first token) and window_ids. A text without tokens has none."""
     step = window_size - overlap
@@ -186,24 +230,83 @@ def trim(tag: Column, value: Column) -> Column:
     return F.regexp_replace(right, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def spelled(found: DataFrame, texts: DataFrame, model: BigramModel) -> DataFrame:
-    """The entities found as model findings: tag, value, start, end, context and score, trimmed and filtered. texts: text and offset_mapping."""
-    rows = found.join(texts.select(*KEYS, "text", "offset_mapping"), KEYS)
-    start, end = F.get("offset_mapping", F.col("first"))["s"], F.get("offset_mapping", F.col("last"))["e"]
-    rows = rows.select(*KEYS, F.col("type").alias("tag"), "score", "text", start.alias("s"), end.alias("e")).withColumn("old", F.substring("text", F.col("s") + 1, F.col("e") - F.col("s")))
-    rows = rows.withColumn("value", trim(F.col("tag"), F.col("old")))
-    at = F.col("s") + F.greatest(F.instr("old", F.col("value")) - 1, F.lit(0))
-    rows = rows.withColumn("start", at.cast("int")).withColumn("end", (F.col("start") + F.length("value")).cast("int"))
-    rows = rows.withColumn("context", context(F.col("text"), F.col("s"), F.col("e")))
-    v6 = F.when(F.contains("value", F.lit(":")) & (F.col("tag") == "IP_ADDRESS"), F.array("value"))
-    rows = rows.withColumn("kind", F.get(filters.v6_kinds(v6), 0))
-    kept = filters.keep_entity(F.col("tag"), F.col("value"), model.is_gibberish, F.col("kind"))
-    return rows.filter(kept).select(*KEYS, "tag", "value", "start", "end", "context", "score")
-
-
-def model_findings(texts: DataFrame, backend: Backend, model: BigramModel, tokenize: Callable[[DataFrame], DataFrame] = word_tokens, window_size: int = 512, overlap: int = 0, batch_size: int = 1, first: int = 0, last: int = 0) -> DataFrame:
-    """The model branch over texts (doc_id, segment_no, text): tokens, windows, probabilities, labels, entities, findings."""
-    tokens = tokenize(texts.select(*KEYS, "text"))
-    predicted = predict(token_windows(tokens.select(*KEYS, "input_ids"), window_size, overlap), backend, first, last, batch_size)
-    tagged = best_labels(combine(predicted, tokens.select(*KEYS, F.size("input_ids").alias("n_tokens")), len(backend.labels)), backend.labels)
-    return spelled(entities(tagged), tokens, model)
+def _runs(labels: list[str]) -> Iterator[tuple[str, int, int]]:
+    """Type, first and last token of the runs that entities() describes, of one text's labels."""
+    opened, before, kind_before = None, "O", None
+    for at, label in enumerate(labels):
+        prefix, kind = label[:1], label.partition("-")[2] if "-" in label else "_"
+        outside = prefix in ("O", ".")
+        if opened is not None and (outside or prefix in ("B", "S") or before in ("E", "S") or kind != kind_before):
+            yield kind_before, opened, at - 1
+            opened = None
+        if not outside and opened is None:
+            opened = at
+        before, kind_before = prefix, kind
+    if opened is not None:
+        yield kind_before, opened, len(labels) - 1
+
+
+def _window_sums(ids: list[list[int]], backend: Backend, window_size: int, overlap: int, batch_size: int, first: int, last: int) -> list[np.ndarray]:
+    """For each text the labels' probabilities at each token, summed over its windows; a batch of windows may be of several texts."""
+    sums = [np.zeros((len(x), len(backend.labels))) for x in ids]
+    places = [(text, at) for text, x in enumerate(ids) for at in range(0, len(x), window_size - overlap)]
+    for at in range(0, len(places), batch_size):
+        some = places[at : at + batch_size]
+        windows = [[first, *ids[text][begin : begin + window_size], last] for text, begin in some]
+        for (text, begin), window, p in zip(some, windows, backend.predict(windows)):
+            n = len(window) - 2
+            sums[text][begin : begin + n] += p[1 : 1 + n]
+    return sums
+
+
+def model_spans(texts: DataFrame, backend: Backend, model: BigramModel, tokenize: Tokenize | None = None, window_size: int = 512, overlap: int = 0, batch_size: int = 1, first: int = 0, last: int = 0) -> DataFrame:
+    """texts with entities: an array of the model branch's findings (tag, value, start, end, context, score) in each row's text.
+
+    Tokens, windows, probabilities, labels and runs of a text are made in one pass over it, where it lies: nothing is shuffled. A text is held
+    whole, with a number a token and label.
+    """
+    if window_size < 1 or overlap < 0 or window_size - overlap < 1:
+        raise ValueError("needs 0 <= overlap < window_size")
+    found_type = "array<struct<tag:string,s:int,old:string,context:string,score:double>>"
+    schema = T.StructType([*texts.schema.fields, *T.StructType.fromDDL(f"entities {found_type}").fields])
+    arrow = pa.list_(pa.struct([("tag", pa.string()), ("s", pa.int32()), ("old", pa.string()), ("context", pa.string()), ("score", pa.float64())]))
+    names, place, cut_up = [*texts.columns, "entities"], texts.columns.index("text"), tokenize or WordTokens()
+    labels = list(backend.labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _some_texts(batch, place):
+                bodies = [x or "" for x in part.column(place).to_pylist()]
+                made = cut_up(bodies)
+                every = _window_sums([ids for ids, _ in made], backend, window_size, overlap, batch_size, first, last)
+                rows = []
+                for body, (_, offsets), sums in zip(bodies, made, every):
+                    p = sums / sums.sum(axis=1, keepdims=True)
+                    best = p.argmax(axis=1) if len(p) else []
+                    top = p.max(axis=1) if len(p) else []
+                    runs = _runs([labels[k] for k in best])
+                    found = ((kind, offsets[a][0], offsets[b][1], float(top[a : b + 1].mean())) for kind, a, b in runs)
+                    rows.append([{"tag": kind, "s": s, "old": body[s:e], "context": body[max(0, s - AROUND) : e + AROUND], "score": score} for kind, s, e, score in found])
+                yield pa.record_batch([*part.columns, pa.array(rows, arrow)], names=names)
+
+    marked = texts.mapInArrow(run, schema)
+
+    def finding(x: Column) -> Column:
+        start = (x["s"] + F.greatest(F.instr(x["old"], x["value"]) - 1, F.lit(0))).cast("int")
+        return F.struct(x["tag"].alias("tag"), x["value"].alias("value"), start.alias("start"), (start + F.length(x["value"])).cast("int").alias("end"), x["context"].alias("context"), x["score"].alias("score"))
+
+    trimmed = F.transform("entities", lambda x: F.struct(x["tag"].alias("tag"), x["s"].alias("s"), x["old"].alias("old"), trim(x["tag"], x["old"]).alias("value"), x["context"].alias("context"), x["score"].alias("score")))
+    kept = F.filter(F.transform(trimmed, finding), lambda x: filters.keep_entity(x["tag"], x["value"], model.is_gibberish))
+    return marked.withColumn("entities", kept)
+
+
+def spans_of(entities: Column) -> Column:
+    """The spans (tag, value, start, end) of the entities of model_spans."""
+    return F.coalesce(F.transform(entities, lambda x: span(x["tag"], x["value"], x["start"], x["end"])), no_spans())
+
+
+def model_findings(texts: DataFrame, backend: Backend, model: BigramModel, tokenize: Tokenize | None = None, window_size: int = 512, overlap: int = 0, batch_size: int = 1, first: int = 0, last: int = 0) -> DataFrame:
+    """A row for each finding of the model branch over texts (doc_id, segment_no, text); see model_spans."""
+    found = model_spans(texts.select(*KEYS, "text"), backend, model, tokenize, window_size, overlap, batch_size, first, last)
+    rows = found.select(*KEYS, F.explode_outer("entities").alias("x")).filter("x IS NOT NULL")
+    return rows.select(*KEYS, "x.tag", "x.value", "x.start", "x.end", "x.context", "x.score")

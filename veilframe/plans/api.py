@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -10,48 +9,60 @@ from pyspark.sql import functions as F
 
 from ..functions import filters
 from ..functions.gibberish import BigramModel
-from ..functions.spans import no_spans, span
+from ..functions.spans import no_spans
 from ..functions.text import is_blank, suffix
 from ..operators.masking import mask_spans
-from ..operators.merging import KEYS, findings_of, merge_spans, verdict
-from ..operators.rules import KEY_DETECTORS, KeyDetector, email_spans, home_name_spans, ip_spans, key_spans
+from ..operators.merging import findings_of, merge_spans, verdict
 from ..operators.plugins import plugin_keys
-from ..operators.windows import Backend, model_findings, word_tokens
+from ..operators.rules import KEY_DETECTORS, KeyDetector, email_spans, home_name_spans, ip_spans, key_spans
+from ..operators.windows import Backend, Tokenize, model_spans, spans_of
+
+#: What the rule-based branch can look for.
+TAGS = ("EMAIL", "IP_ADDRESS", "KEY", "NAME")
 
 
 class Settings(NamedTuple):
-    """What a scan uses. Without a backend there is no model branch."""
+    """What a scan uses. tags: what the rule-based branch looks for. Without a backend there is no model branch, without a tokenizer words
+    are its tokens."""
 
     gibberish: BigramModel
     key_detector: KeyDetector = "detect-secrets"
     home_directory: str | None = None
     v6: bool = True
     backend: Backend | None = None
-    tokenize: Callable[[DataFrame], DataFrame] = word_tokens
+    tokenize: Tokenize | None = None
     window_size: int = 512
     window_overlap: int = 0
     batch_size: int = 1
+    tags: tuple[str, ...] = TAGS
 
 
 def rule_findings(text: Column, settings: Settings, file_suffix: Column | None = None) -> Column:
     """The rule-based spans of a text, without private addresses and public resolvers."""
     if settings.key_detector not in KEY_DETECTORS:
         raise ValueError(f"key_detector must be one of {KEY_DETECTORS}, not {settings.key_detector!r}")
-    keys = key_spans(text, settings.gibberish) if settings.key_detector == "regex" else plugin_keys(text, settings.gibberish, file_suffix)
-    return F.concat(email_spans(text), ip_spans(text, public_only=True, v6=settings.v6), keys, home_name_spans(text, settings.home_directory))
+    if unknown := set(settings.tags) - set(TAGS):
+        raise ValueError(f"tags must be of {TAGS}, not {sorted(unknown)}")
+    detectors = {
+        "EMAIL": lambda: email_spans(text),
+        "IP_ADDRESS": lambda: ip_spans(text, public_only=True, v6=settings.v6),
+        "KEY": lambda: key_spans(text, settings.gibberish) if settings.key_detector == "regex" else plugin_keys(text, settings.gibberish, file_suffix),
+        "NAME": lambda: home_name_spans(text, settings.home_directory),
+    }
+    return F.concat(no_spans(), *(detectors[tag]() for tag in TAGS if tag in settings.tags))
 
 
 def with_spans(texts: DataFrame, settings: Settings) -> DataFrame:
     """texts (doc_id, segment_no, filename, text) with spans: the findings of both branches, in order of start, end and tag. Blank texts have none.
 
-    The rule-based branch is one projection. The model branch shuffles by text, and joins its findings back.
+    Both branches are projections over a text where it lies; nothing is shuffled.
     """
     found = F.when(is_blank(F.col("text")), no_spans()).otherwise(rule_findings(F.col("text"), settings, suffix(F.col("filename"))))
     if settings.backend is None:
         return texts.withColumn("spans", merge_spans(found))
-    entities = model_findings(texts.filter(~is_blank(F.col("text"))), settings.backend, settings.gibberish, settings.tokenize, settings.window_size, settings.window_overlap, settings.batch_size)
-    by_text = entities.groupBy(*KEYS).agg(F.collect_list(span(F.col("tag"), F.col("value"), F.col("start"), F.col("end"))).alias("entities"))
-    return texts.join(by_text, KEYS, "left").withColumn("spans", merge_spans(found, F.col("entities"))).drop("entities")
+    both = model_spans(texts, settings.backend, settings.gibberish, settings.tokenize, settings.window_size, settings.window_overlap, settings.batch_size)
+    entities = F.when(is_blank(F.col("text")), no_spans()).otherwise(spans_of(F.col("entities")))
+    return both.withColumn("spans", merge_spans(found, entities)).drop("entities")
 
 
 def scan(texts: DataFrame, settings: Settings) -> DataFrame:
@@ -69,4 +80,4 @@ def detect(texts: DataFrame, settings: Settings, answers: DataFrame | None = Non
     return verdict(scan(texts, settings), answers)
 
 
-__all__ = ["Settings", "detect", "filters", "mask", "rule_findings", "scan", "with_spans"]
+__all__ = ["TAGS", "Settings", "detect", "filters", "mask", "rule_findings", "scan", "with_spans"]

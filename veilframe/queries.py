@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import filters, gibberish
-from .functions.spans import occurrences
+from .functions.gibberish import BigramModel
+from .functions.spans import extract, occurrences
 from .functions.text import context, is_blank, normalize_newlines, suffix, wrapped_context
 from .operators import masking, merging, plugins, rules, windows
 from .plans.api import Settings, detect, mask, scan
@@ -16,7 +17,11 @@ from .sources.diffs import additions
 from .sources.files import without_blank
 
 LABELS = ["O", "B-NAME", "I-NAME", "B-KEY", "I-KEY", "B-EMAIL", "I-EMAIL"]
+#: With all prefixes, and an outside tag of its own.
+ALL_LABELS = ["O", "B-NAME", "I-NAME", "E-NAME", "S-KEY", "B-KEY", "I-KEY", "."]
 HOME = "/home/src1"
+#: Words as SQL finds them too.
+WORD = r"()([^\x20\x09-\x0D]+)()"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +38,25 @@ def _rows(df: DataFrame, spans: Column, *more: str) -> DataFrame:
     return df.select("doc_id", *more, F.explode_outer(spans).alias("x")).filter("x IS NOT NULL").select("doc_id", *more, "x.start", "x.end", "x.value")
 
 
+_MODELS: dict[tuple[str, str], BigramModel] = {}
+
+
+def _model(spark: SparkSession, sf_dir: str) -> BigramModel:
+    """The bigram model of all documents; trained once a session and folder, as a user would once, and then load it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = gibberish.train(_table(spark, sf_dir, "documents"))
+    return _MODELS[key]
+
+
 def _settings(spark: SparkSession, sf_dir: str, **more) -> Settings:
-    return Settings(gibberish.train(_table(spark, sf_dir, "documents")), home_directory=HOME, **more)
+    return Settings(_model(spark, sf_dir), home_directory=HOME, **more)
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pos and x (a span) of every word of the documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode_outer(extract(F.col("text"), WORD, "WORD")).alias("pos", "x")).filter("x IS NOT NULL")
 
 
 def ip_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +80,7 @@ def email_page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = gibberish.train(_table(spark, sf_dir, "documents"))
-    return _rows(_table(spark, sf_dir, "documents"), rules.key_spans(F.col("text"), model))
+    return _rows(_table(spark, sf_dir, "documents"), rules.key_spans(F.col("text"), _model(spark, sf_dir)))
 
 
 def key_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +98,10 @@ def hash_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.md5("text")
-    text = F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.lit("\nMD5 sum ")).otherwise("\ntotal "), value, F.lit("\n"), value)
+    """Digests of several lengths after several words, on the same line or the next."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % n + 1).cast("int"))
+    value = F.substring(F.concat(F.sha2("text", 256), F.md5("text")), F.lit(1), pick((32, 40, 64, 31, 41), 5))
+    text = F.concat(F.col("text"), F.lit("\n"), pick(("MD5 sum ", "total ", "a byte of ", "hash\n", "SHA: ", "sh a ", ""), 7), value, F.lit("\nsha "), value)
     docs = _table(spark, sf_dir, "documents").select("doc_id", text.alias("t"), value.alias("v"))
     return docs.select("doc_id", filters.on_hash_line(F.col("t"), F.col("v")).alias("on_hash_line"))
 
@@ -96,35 +119,66 @@ def hex_token_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plugin_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = gibberish.train(_table(spark, sf_dir, "documents"), limit=3.0)
+    model = _model(spark, sf_dir)._replace(limit=3.0)
     return _rows(_table(spark, sf_dir, "documents"), plugins.plugin_keys(F.col("text"), model))
 
 
+def token_shapes() -> dict[str, tuple[str, ...]]:
+    """Texts with the token of each plugin, near misses and what the filters leave out, as parts to be joined: h[a:b] are hexadecimal digits a to b (from 1) of
+    the document's digest, up the same in upper case, m letters and digits made of it; other parts stand for themselves."""
+    return {
+        "artifactory": ("x AKC", "m[1:12]"), "artifactory_password": ('"APB', "m[1:9]", '"'), "artifactory_short": ("x AKC", "m[1:9]"),
+        "aws": ("key AKIA", "up[1:16]"), "aws_long": ("key AKIA", "up[1:17]"), "aws_secret": ("AWS_Secret_key = '", "m[1:40]", "'"), "aws_other_key": ("aws = '", "m[1:39]", "' "),
+        "base64": ('say "', "m[1:30]", '"'), "base64_plain": ('say "', "m[1:8]", "m[1:8]", '"'), "hex": ("n = '", "h[1:10]", "'"), "hex_longer": ("n = '", "h[1:24]", "'"), "digits": ("n = '1029384756'",),
+        "azure": ("AccountKey=", "m[1:44]", "m[1:44]"), "azure_short": ("AccountKey=", "m[1:44]", "m[1:43]"), "cloudant": ("Cloudant_pw = ", "h[1:64]"), "cloudant_url": ("https://u:", "h[1:64]", "@a.cloudant.com"), "cloudant_other": ("cloudant is ", "h[1:64]"),
+        "discord": ("M", "m[1:23]", ".", "m[1:6]", ".", "m[5:31]"), "github": ("ghp_", "m[1:36]"), "github_short": ("ghp_", "m[1:35]"), "ibm": ("iam_key='", "m[1:44]", "'"), "cos": ("cos_hmac_secret_access_key = ", "h[1:48]"),
+        "jwt": ("Bearer eyJhbGciOiJIUzI1NiJ9.eyJuIjoxfQ.", "m[1:20]"), "jwt_not_json": ("Bearer eyJub3RqdHM.eyJub3RqdHM.", "m[1:20]"), "mailchimp": ("h[1:32]", "-us5"), "mailchimp_three_digits": ("h[1:32]", "-us123"),
+        "npm": ("//r.example.com/:_authToken=npm_", "m[1:36]"), "npm_uuid": ("//r.example.com/:_authToken=", "h[1:8]", "-", "h[9:12]", "-", "h[13:16]", "-", "h[17:20]", "-", "h[21:32]"),
+        "sendgrid": ("SG.", "m[1:22]", ".", "m[1:43]"), "slack": ("xoxb-123-", "m[1:24]"), "slack_hook": ("https://hooks.slack.com/services/T", "m[1:8]", "/B", "m[2:9]", "/", "m[1:24]"), "softlayer": ("sl_api_key = ", "h[1:64]"),
+        "stripe": ("sk_live_", "m[1:24]"), "stripe_test": ("sk_test_", "m[1:24]"), "twilio": ("SK", "h[9:40]"), "twilio_long": ("SK", "h[9:41]"),
+        "uuid": ('k = "', "h[1:8]", "-", "h[9:12]", "-", "h[13:16]", "-", "h[17:20]", "-", "h[21:32]", '"'), "identifier": ('user_id = "', "h[1:40]", '"'), "sequence": ('k = "0123456789abcdef"',), "two": ("'", "h[1:40]", "' and '", "h[3:42]", "' and '", "h[1:40]", "'"), "none": ("sha ", "h[1:19]"),
+    }
+
+
+def shape_part(part: str) -> tuple[str, int, int] | None:
+    """Source, first and last of a part like h[1:8]."""
+    name, _, rest = part.partition("[")
+    first, _, last = rest.rstrip("]").partition(":")
+    return (name, int(first), int(last)) if name in ("h", "up", "m") and last.isdigit() else None
+
+
 def token_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each token format, filled with characters that come from the documents' digests."""
+    """How many secrets the plugins find in each token format, filled with characters that come from the documents' digests, and in near misses."""
     h = F.sha2("text", 256)
-    up, mixed = F.upper(F.sha2("text", 256)), F.translate(F.base64(F.unhex(h)), "+/=", "aZ9")
-    shapes = {
-        "aws": F.concat(F.lit("key AKIA"), F.substring(up, 1, 16)),
-        "github": F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)),
-        "slack": F.concat(F.lit("xoxb-123-"), F.substring(mixed, 1, 24)),
-        "stripe": F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)),
-        "sendgrid": F.concat(F.lit("SG."), F.substring(mixed, 1, 22), F.lit("."), F.substring(F.concat(mixed, mixed), 3, 43)),
-        "mailchimp": F.concat(F.substring(h, 1, 32), F.lit("-us5")),
-        "twilio": F.concat(F.lit("SK"), F.substring(h, 9, 32)),
-        "azure": F.concat(F.lit("AccountKey="), F.substring(F.concat(mixed, mixed, mixed), 1, 88)),
-        "npm": F.concat(F.lit("//r.example.com/:_authToken=npm_"), F.substring(mixed, 1, 36)),
-        "none": F.concat(F.lit("sha "), F.substring(h, 1, 20)),
-    }
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("format"), v.alias("t")) for k, v in shapes.items()))).alias("x"))
-    return docs.select("doc_id", "x.format", F.size(plugins.plugin_values(F.col("x.t"))).alias("n_found"))
+    sources = {"h": h, "up": F.upper(h), "m": F.translate(F.base64(F.unhex(h)), "+/=", "aZ9")}
+    docs = _table(spark, sf_dir, "documents").select("doc_id", *(v.alias(f"source_{k}") for k, v in sources.items()))
+
+    def written(part: str) -> Column:
+        found = shape_part(part)
+        return F.substring(f"source_{found[0]}", found[1], F.lit(found[2] - found[1] + 1)) if found else F.lit(part)
+
+    shapes = F.array(*(F.struct(F.lit(k).alias("format"), F.concat(*map(written, v)).alias("t")) for k, v in token_shapes().items()))
+    rows = docs.select("doc_id", F.explode(shapes).alias("x")).select("doc_id", "x.format", plugins.plugin_values(F.col("x.t")).alias("v"))
+    return rows.select("doc_id", "format", F.size("v").alias("n_found"))
 
 
 def gibberish_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    model = gibberish.train(docs)
-    first = F.lower(F.regexp_extract("text", r"^\S+", 0))
-    return docs.select("doc_id", F.round(model.score(first), 6).alias("word_score"), F.round(model.score(F.md5("text")), 6).alias("digest_score"))
+    """The score of each different word of all documents."""
+    words = _words(spark, sf_dir).select(F.lower("x.value").alias("word")).distinct()
+    return words.select("word", F.round(_model(spark, sf_dir).score(F.col("word")), 6).alias("score"))
+
+
+def ip_v6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with colons made of digits of the documents' digests: whole, shortened, with an IPv4 tail, in private networks, and broken."""
+    i, h = F.col("doc_id"), F.md5("text")
+    g = lambda k: F.substring(h, 4 * k + 1, F.lit(4))
+    v4 = F.concat_ws(".", *((i * k % 260).cast("string") for k in (7, 11, 13, 17)))
+    start = F.element_at(F.array(*map(F.lit, ("2a00", "2001:db8", "fe80", "2001:1", "fd00", "2002", "64:ff9b:1", "2001:4:112"))), (i % 8 + 1).cast("int"))
+    forms = [F.concat_ws(":", *(g(k) for k in range(8))), F.concat(start, F.lit("::"), g(1)), F.concat(start, F.lit(":"), g(2), F.lit("::")), F.concat(F.lit("::ffff:"), v4), F.concat(F.lit("::"), g(3), F.lit(":"), g(4)), F.concat(start, F.lit("::"), v4), F.concat(F.lit("fe80::"), g(5), F.lit("%eth0")), F.concat(g(1), F.lit("::"), g(2), F.lit("::"), g(3)), F.lit("::1")]
+    text = F.concat(F.lit("at "), F.element_at(F.array(*forms), (i % 9 + 1).cast("int")), F.lit(" and "), forms[0], F.lit(", server "), F.element_at(F.array(*forms), ((i / 9).cast("int") % 9 + 1).cast("int")), F.lit(" now"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    found = docs.select("doc_id", F.explode_outer(rules.ip_spans(F.col("t"))).alias("x")).filter("x IS NOT NULL").select("doc_id", "x.start", "x.end", "x.value")
+    return found.select("doc_id", "start", "end", "value", filters.excluded_address(F.col("value")).alias("excluded"))
 
 
 def address_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,15 +213,13 @@ def mask_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Findings of two branches at places that doc_id gives, some of them the same."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    """Findings of two branches at the words of whole texts: at every second and at every third one, with tags that place and length give."""
+    words = _words(spark, sf_dir)
 
-    def branch(step: int, tags: tuple[str, str]) -> DataFrame:
-        start = (F.col("k") * step + F.col("doc_id") % 3).cast("int")
-        tag = F.when(F.col("k") % 2 == 0, tags[0]).otherwise(tags[1])
-        return docs.select("doc_id", F.lit(0).alias("segment_no"), tag.alias("tag"), F.substring("text", start + 1, F.lit(4)).alias("value"), start.alias("start"), (start + 4).alias("end"))
+    def branch(step: int, tag: Column) -> DataFrame:
+        return words.filter(F.col("pos") % step == 0).select("doc_id", F.lit(0).alias("segment_no"), tag.alias("tag"), "x.value", "x.start", "x.end")
 
-    return branch(2, ("EMAIL", "KEY")), branch(4, ("EMAIL", "NAME"))
+    return branch(2, F.when(F.col("pos") % 4 == 0, "EMAIL").otherwise("KEY")), branch(3, F.when(F.length("x.value") % 2 == 0, "EMAIL").otherwise("NAME"))
 
 
 def merge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,12 +250,12 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Windows of 4 tokens, 2 shared, over doc_id % 7 + 3 tokens, with whole-number scores of three labels that place and window give."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("segment_no"), (F.col("doc_id") % 7 + 3).cast("int").alias("n_tokens"))
-    offsets = docs.select("*", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - 1, F.lit(2))).alias("offset"))
+    """Windows of 64 words, 16 shared, over whole texts, with whole-number scores of three labels that document, window and place give."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("segment_no"), F.array_remove(F.split("text", r"[ \n]+"), "").alias("input_ids"))
+    cut = windows.token_windows(docs, 64, 16)
     score = lambda i, k: ((F.col("doc_id") + F.col("offset") + i * 3 + k * 5) % 8 + 1).cast("double")
-    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(*(score(i, k) for k in range(3))))
-    return offsets.select("doc_id", "segment_no", "offset", rows.alias("probs")), docs
+    rows = F.transform("window_ids", lambda x, i: F.array(*(score(i, k) for k in range(3))))
+    return cut.select("doc_id", "segment_no", "offset", rows.alias("probs")), docs.select("doc_id", "segment_no", F.size("input_ids").alias("n_tokens"))
 
 
 def combine_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,32 +269,42 @@ def best_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bio_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("segment_no"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("pos"))
-    n = (F.col("doc_id") * 31 + F.col("pos") * F.col("pos") * 7 + F.col("doc_id") % (F.col("pos") + 2)) % len(LABELS)
-    tagged = docs.select("doc_id", "segment_no", "pos", F.get(F.array(*map(F.lit, LABELS)), n.cast("int")).alias("label"), (F.col("pos") + 1).cast("double").alias("p"))
+    """Runs over labels, with all prefixes, that the words of whole texts give."""
+    n = (F.col("doc_id") * 31 + F.col("pos") * F.col("pos") * 7 + F.length("x.value")) % len(ALL_LABELS)
+    tagged = _words(spark, sf_dir).select("doc_id", F.lit(0).alias("segment_no"), "pos", F.get(F.array(*map(F.lit, ALL_LABELS)), n.cast("int")).alias("label"), (F.col("pos") + 1).cast("double").alias("p"))
     return windows.entities(tagged).select("doc_id", "type", "first", "last", F.round("score", 9).alias("score"))
 
 
 def entity_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tag = F.when(F.col("doc_id") % 2 == 0, "KEY").otherwise("NAME")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", tag.alias("tag"), F.concat(F.lit("\"(_"), F.substring("text", (F.col("doc_id") % 40 + 1).cast("int"), F.lit(25)), F.lit("), ")).alias("old"))
+    """Every line of all texts, with signs about it, as a value of one of two tags."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    rows = lines.select("doc_id", "pos", F.when((F.col("doc_id") + F.col("pos")) % 2 == 0, "KEY").otherwise("NAME").alias("tag"), F.concat(F.lit("\"(_"), "line", F.lit("), ")).alias("old"))
     value = windows.trim(F.col("tag"), F.col("old"))
-    return docs.select("doc_id", "tag", value.alias("value"), F.greatest(F.instr("old", value) - 1, F.lit(0)).alias("moved"))
+    return rows.select("doc_id", "pos", "tag", value.alias("value"), F.greatest(F.instr("old", value) - 1, F.lit(0)).alias("moved"))
 
 
 def entity_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    model = gibberish.train(docs)
-    tags = F.array(*map(F.lit, ("AMBIGUOUS", "USERNAME", "IP_ADDRESS", "NAME", "PASSWORD", "EMAIL")))
-    values = F.when(F.col("tag") == "IP_ADDRESS", F.concat(F.lit("81.2.69."), (F.col("doc_id") % 300).cast("string"))).otherwise(F.substring("text", (F.col("doc_id") % 20 + 1).cast("int"), (F.col("doc_id") % 9 + 1).cast("int")))
-    rows = docs.select("doc_id", "text", F.explode(tags).alias("tag")).select("doc_id", "tag", values.alias("value"))
-    return rows.select("doc_id", "tag", windows.filters.keep_entity(F.col("tag"), F.col("value"), model.is_gibberish).alias("kept"))
+    """Each word of all texts, or two of them, an address, or a word and a digest, as a value of each tag in turn."""
+    tags = ("AMBIGUOUS", "USERNAME", "IP_ADDRESS", "NAME", "PASSWORD", "EMAIL", "KEY")
+    rows = _words(spark, sf_dir).select("doc_id", "pos", F.col("x.value").alias("word"), F.get(F.array(*map(F.lit, tags)), (F.col("pos") % len(tags)).cast("int")).alias("tag"))
+    address = F.concat(F.lit("81.2.69."), ((F.col("doc_id") + F.col("pos")) % 300).cast("string"))
+    digest = F.concat("word", F.substring(F.md5("word"), F.lit(1), (F.col("doc_id") % 20).cast("int")))
+    value = F.when(F.col("tag") == "IP_ADDRESS", address).when(F.col("tag") == "KEY", digest).when(F.col("pos") % 2 == 0, F.concat("word", F.lit(" x"))).otherwise(F.col("word"))
+    rows = rows.select("doc_id", "pos", "tag", value.alias("value"))
+    return rows.select("doc_id", "pos", "tag", filters.keep_entity(F.col("tag"), F.col("value"), _model(spark, sf_dir)._replace(limit=3.0).is_gibberish).alias("kept"))
+
+
+def word_id(word: str) -> int:
+    """A token id that SQL can give too."""
+    return len(word) * 7 + ord(word[0])
+
+
+_BY_WORD = {"tokenize": windows.WordTokens(word_id), "window_size": 64, "batch_size": 8}
 
 
 def model_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole model branch with the deterministic backend."""
-    model = gibberish.train(_table(spark, sf_dir, "documents"))
-    found = windows.model_findings(_texts(spark, sf_dir), windows.FakeBackend(LABELS), model, window_size=64, overlap=16, batch_size=8)
+    found = windows.model_findings(_texts(spark, sf_dir), windows.FakeBackend(LABELS), _model(spark, sf_dir), overlap=16, **_BY_WORD)
     return found.select("doc_id", "tag", "value", "start", "end", F.round("score", 6).alias("score"))
 
 
@@ -262,7 +324,7 @@ def mask_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = _settings(spark, sf_dir, backend=windows.FakeBackend(LABELS), window_size=64, window_overlap=16, batch_size=8)
+    settings = _settings(spark, sf_dir, backend=windows.FakeBackend(LABELS), window_overlap=16, **_BY_WORD)
     return scan(_texts(spark, sf_dir), settings).select("doc_id", "filename", "start", "end", "type", "text")
 
 
@@ -293,14 +355,17 @@ def findings_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names made of the texts' first words and lines, with and without folders, dots and ends."""
     ends = F.element_at(F.array(*map(F.lit, (".py", ".tar.gz", "", ".", "/.bashrc", "/a.b/c", "/.x.y", ".JSON"))), (F.col("doc_id") % 8 + 1).cast("int"))
-    return _table(spark, sf_dir, "documents").select("doc_id", suffix(F.concat(F.col("source"), ends)).alias("suffix"))
+    name = F.concat(F.col("source"), F.lit("/"), F.translate(F.substring("text", 1, F.lit(60)), "\n", "/"), ends)
+    return _table(spark, sf_dir, "documents").select("doc_id", suffix(name).alias("suffix"))
 
 
 def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blank = F.element_at(F.array(F.lit(""), F.lit(" \t\r\n"), F.lit("\x1c\x1f"), F.lit("  "), F.lit(" x ")), (F.col("doc_id") % 5 + 1).cast("int"))
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(blank).alias("text"))
-    return without_blank(rows).select("doc_id", is_blank(F.col("text")).alias("blank"))
+    """Every line of all texts and some odd ones."""
+    blank = F.element_at(F.array(F.lit(""), F.lit(" \t\r"), F.lit("\x1c\x1f"), F.lit("\u2003\xa0"), F.lit(" x "), F.lit("\u200b")), (F.col("doc_id") % 6 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.concat(blank, F.lit("\n"), "text", F.lit("\n")), "\n", -1)).alias("pos", "text"))
+    return without_blank(rows).select("doc_id", "pos", is_blank(F.col("text")).alias("blank"))
 
 
 def newline_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +376,7 @@ def newline_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     ip_spans, ip_public_spans, ip_page_spans, email_spans, email_page_spans, key_spans, key_shapes, home_name_spans, hash_gate, hash_lines,
-    literal_occurrences, hex_token_keys, plugin_keys, token_formats, gibberish_scores, address_classes, version_context, mask_documents,
+    literal_occurrences, hex_token_keys, plugin_keys, token_formats, gibberish_scores, ip_v6_spans, address_classes, version_context, mask_documents,
     mask_overlaps, merge_dedupe, sorted_findings, diff_additions, token_windows, combine_windows, best_labels, bio_entities, entity_trim,
     entity_filters, model_branch, scan_pipeline, scan_default, mask_default, scan_with_model, detect_verdict, detect_exit, triage, report_lines,
     findings_by_type, file_suffixes, blank_filter, newline_modes,

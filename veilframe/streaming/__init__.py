@@ -1,4 +1,4 @@
-"""Scans of streams. Every rule-based step works on one row, so no state and no watermark are needed."""
+"""Scans of streams. Either branch works on one row, so no state and no watermark are needed."""
 
 from __future__ import annotations
 
@@ -8,13 +8,10 @@ from ..plans.api import Settings, mask, scan
 
 
 def scan_stream(texts: DataFrame, settings: Settings) -> DataFrame:
-    """scan() of a stream of whole texts; the model branch, which shuffles, is refused."""
-    if settings.backend is not None:
-        raise ValueError("the model branch groups a text's windows: scan such a stream batch by batch, with foreachBatch")
+    """scan() of a stream of whole texts."""
     return scan(texts, settings)
 
 
 def mask_stream(texts: DataFrame, settings: Settings) -> DataFrame:
-    if settings.backend is not None:
-        raise ValueError("the model branch groups a text's windows: mask such a stream batch by batch, with foreachBatch")
+    """mask() of a stream of whole texts."""
     return mask(texts, settings)
