@@ -5,7 +5,10 @@ pre-tokenised by itself, in parallel with the others. Matching is a function of
 neighbouring chunks share a boundary they agree from there on: the first shared boundary is the seam. The text between
 seams is then encoded piece by piece (with what follows in view, as the pattern looks ahead). A text with no shared boundary in some overlap (one run of letters longer than
 the overlap, say) is encoded as a single chunk, so the result never depends on the chunk size. Decoding concatenates the bytes of
-the ids.
+the ids. Only boundaries are ordered by document; the chunks' texts stay where they are, so that a document's pieces are encoded by many tasks.
+
+A pattern must be such that where a match ends is decided by at most ``MARGIN_CHARS`` characters after it (``public_tokenizers.PATTERN`` looks
+ahead by one); one that looks back, or ahead over a run of any length, needs texts to be encoded whole: set ``chunk_chars`` above their length.
 
 Defined cases: null text is encoded like an empty one (no ids); rows that repeat are each returned; only ``doc_id`` and
 ``text`` are read, so other columns may have any name; an empty table gives an empty result.
@@ -16,7 +19,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
-from itertools import chain, takewhile
+from itertools import batched, chain, takewhile
 
 import pyarrow as pa
 import regex
@@ -30,8 +33,12 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 #: A match that ends closer than this to the end of a chunk might go on, or be another one, in the whole text.
 MARGIN_CHARS = 4
+#: What tells chunks apart: document, text and number.
+CHUNK = ["own", "digest", "k"]
 #: Pieces whose ids a worker remembers.
 CACHE_PIECES = 150_000
+#: Pieces of a text that are held at a time.
+HELD_PIECES = 1 << 18
 
 
 class PieceEncoder:
@@ -56,7 +63,13 @@ class PieceEncoder:
 
     def encode(self, text: str, until: int | None = None) -> list[int]:
         """Ids of text, or of its pieces that begin before until; what follows there still decides where the last one ends."""
-        pieces = self.pieces(text) if until is None else [m.group() for m in takewhile(lambda m: m.start() < until, self.pattern.finditer(text))]
+        if until is None and len(text) <= HELD_PIECES:
+            return self._ids(self.pieces(text))
+        matches = self.pattern.finditer(text)
+        pieces = (m.group() for m in (matches if until is None else takewhile(lambda m: m.start() < until, matches)))
+        return list(chain.from_iterable(map(self._ids, map(list, batched(pieces, HELD_PIECES)))))
+
+    def _ids(self, pieces: list[str]) -> list[int]:
         known = self.known
         try:
             return list(chain.from_iterable(map(known.__getitem__, pieces)))
@@ -101,18 +114,19 @@ def _with_ids(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def _chunks(long: DataFrame, chunk_chars: int, overlap_chars: int) -> DataFrame:
-    """A row for each chunk of each different long row: copies says how many rows had that doc_id and text."""
+    """A row for each chunk of each different long row: copies says how many rows had that doc_id and text; own is doc_id as text, null too."""
     distinct = long.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
     starts = F.sequence(F.lit(0), ((F.length("text") - 1) / chunk_chars).cast("int"))
     cut = F.transform(starts, lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * chunk_chars + 1, F.lit(chunk_chars + overlap_chars)).alias("text")))
-    rows = distinct.select("doc_id", F.md5("text").alias("digest"), "copies", F.explode(cut).alias("chunk"))
-    return rows.select("doc_id", "digest", "copies", "chunk.k", "chunk.text").repartition("doc_id", "digest", "k")
+    own = F.concat(F.when(F.col("doc_id").isNull(), "-").otherwise("+"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = distinct.select("doc_id", own.alias("own"), F.md5("text").alias("digest"), "copies", F.explode(cut).alias("chunk"))
+    return rows.select("doc_id", "own", "digest", "copies", "chunk.k", "chunk.text").repartition(*CHUNK)
 
 
 def _seams(chunks: DataFrame, ranks_path: str, pattern: str, chunk_chars: int, overlap_chars: int) -> DataFrame:
-    """Each chunk with head and tail, its boundaries in the overlaps with its neighbours, counted from the text's start."""
-    names = ["doc_id", "digest", "copies", "k", "text"]
-    schema = with_fields(chunks, "head array<int>, tail array<int>")
+    """Each chunk's CHUNK, entry (the seam where it begins, counted from the text's start), until (the next one's) and synced (whether all
+    chunks of the text have an entry)."""
+    schema = with_fields(chunks.select(*CHUNK), "head array<int>, tail array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boundaries = encoder(ranks_path, pattern).boundaries
@@ -124,9 +138,13 @@ def _seams(chunks: DataFrame, ranks_path: str, pattern: str, chunk_chars: int, o
                     trusted = len(text) - MARGIN_CHARS
                     heads.append([base + b for b in found if b <= overlap_chars])
                     tails.append([base + b for b in found if chunk_chars <= b <= trusted])
-                yield pa.record_batch([*(part.column(n) for n in names), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*names, "head", "tail"])
+                yield pa.record_batch([*(part.column(n) for n in CHUNK), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*CHUNK, "head", "tail"])
 
-    return map_arrow(chunks, run, schema)
+    edges = map_arrow(chunks.select(*CHUNK, "text"), run, schema)
+    whole = Window.partitionBy("own", "digest")
+    entry = F.when(F.col("k") == 0, 0).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(whole.orderBy("k")))))
+    edges = edges.withColumn("entry", entry).withColumn("synced", F.min(F.col("entry").isNotNull()).over(whole))
+    return edges.withColumn("until", F.lead("entry").over(whole.orderBy("k"))).select(*CHUNK, "entry", "until", "synced")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
@@ -137,11 +155,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CH
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
     short = _with_ids(docs.filter(~is_long), ranks_path, pattern)
 
-    seams = _seams(_chunks(docs.filter(is_long), chunk_chars, overlap_chars), ranks_path, pattern, chunk_chars, overlap_chars)
-    whole = Window.partitionBy("doc_id", "digest")
-    entry = F.when(F.col("k") == 0, 0).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(whole.orderBy("k")))))
-    seams = seams.withColumn("entry", entry).withColumn("synced", F.min(F.col("entry").isNotNull()).over(whole))
-    seams = seams.withColumn("until", F.lead("entry").over(whole.orderBy("k")))
+    chunks = _chunks(docs.filter(is_long), chunk_chars, overlap_chars)
+    seams = chunks.join(_seams(chunks, ranks_path, pattern, chunk_chars, overlap_chars), CHUNK)
 
     # From a seam on; what follows the next seam comes along, as it decides where the last piece ends.
     owned = F.expr(f"substring(text, entry - k * {chunk_chars} + 1)")
