@@ -72,6 +72,72 @@ def test_aliases(spark):
     assert {r["page_id"] for r in url_rules.judge(df, URL_RULES, given).filter("verdict = 'block'").collect()} == {7, 8}
 
 
+def linked_pages(rng, n):
+    """Pages whose html names others of a few URLs, in several spellings, some of them in rules."""
+    urls = [f"http://{h}/{p}" for h in ("a.io", "b.io", "c.io", "bad.net", "example.net", "m.example.com", "x.org") for p in ("", "1", "d/2", "de/3", "en/4", "fr/5", "d/e/6?q=1")]
+    rows = []
+    for _ in range(n):
+        url, to = rng.choice(urls), rng.choice(urls)
+        to = rng.choice([to, to, to + "#part", to.removeprefix("http:"), "/" + to.split("/", 3)[3], "own", "../x"])
+        link = rng.choice([f'<link rel="canonical" href="{to}">', f"<LINK href='{to}' rel=canonical >", f"<link rel=icon href={to}><link class=x href={to} rel='canonical'>", f"<meta http-equiv=refresh content='0; url={to}'>", f'<meta content="1;URL={to}" http-equiv="Refresh">', f"<link rel=stylesheet href={to}>", "<p>", ""])
+        rows.append((rng.choice([url, url, url + "#top"]), rng.choice(["<html>", ""]) + link + "text"))
+    return rows + [(None, "<link rel=canonical href=http://bad.net/>"), ("http://b.io/1", None), ("no host", "<link rel=canonical href=http://bad.net/>")]
+
+
+def aliases_by_hand(rows, rules):
+    """The verdict of each page: edges by Python's patterns and urljoin-like rules, components by passes until nothing changes."""
+    node = lambda url: url.split("#")[0] if url and "://" in url else None
+    pairs = []
+    for url, html in rows:
+        if url is None or html is None or "://" not in url:
+            continue
+        for pattern in (r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""):
+            if found := re.search(pattern, html):
+                to, (scheme, rest) = found[1], url.split("//", 1)
+                host, path = re.match(r"[^/?#]*", rest)[0], host_and_path(url)[1]
+                if "://" not in to:
+                    folder = f"{scheme}//{host}{path.rpartition('/')[0]}"
+                    to = scheme + to if to.startswith("//") else f"{scheme}//{host}{to}" if to.startswith("/") else f"{folder}/{to}"
+                pairs.append((node(url), node(to)))
+    label = {x: x for pair in pairs for x in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    actions = {}
+    for x, component in label.items():
+        if best := decided_by_hand(x, rules):
+            actions.setdefault(component, set()).add(best.action)
+    verdicts = []
+    for url, _ in rows:
+        best = decided_by_hand(url, rules)
+        verdicts.append(best.action if best else "block" if actions.get(label.get(node(url))) == {"block"} else "allow")
+    return verdicts
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_aliases_by_brute_force_and_by_sql(spark, seed):
+    import duckdb
+    import pandas as pd
+
+    from veilframe.llm.sql import URL_RULES as SQL
+
+    rows = linked_pages(random.Random(seed), 20 + 15 * seed)
+    pages = pd.DataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], columns=["page_id", "url", "html"])
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(df, URL_RULES).collect()}
+    expected = dict(enumerate(aliases_by_hand(rows, URL_RULES)))
+    assert got == expected
+    base = duckdb.connect()
+    base.register("pages", pages)
+    assert dict(base.execute(f"SELECT page_id, verdict FROM ({SQL})").fetchall()) == expected
+    by_alias = sum(v == "block" and decided_by_hand(u, URL_RULES) is None for (u, _), v in zip(rows, got.values()))
+    assert by_alias or seed == 1
+
+
 def quality_by_hand(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -27,22 +27,45 @@ SELECT doc_id, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(text) AS BIGI
 """
 
 URL_RULES = r"""
-WITH u AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+WITH RECURSIVE tags AS (
+  SELECT url, regexp_extract_all(html, '(?is)<link\b[^>]*') AS links, regexp_extract_all(html, '(?is)<meta\b[^>]*') AS metas FROM pages WHERE html IS NOT NULL AND contains(url, '://')
 ),
+named AS (
+  SELECT url, list_filter(links, lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b') AND regexp_matches(x, '(?is)\bhref\s*=\s*["'']?[^"''\s>]'))[1] AS link,
+    list_filter(metas, lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') AND regexp_matches(x, '(?is)\burl\s*=\s*["'']?[^"''\s>;]'))[1] AS meta FROM tags
+),
+targets AS (
+  SELECT url, regexp_extract(link, '(?is)^<link\b.*\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM named WHERE link IS NOT NULL
+  UNION ALL SELECT url, regexp_extract(meta, '(?is)^<meta\b.*\burl\s*=\s*["'']?([^"''\s>;]+)', 1) FROM named WHERE meta IS NOT NULL
+),
+placed AS (
+  SELECT url, target, regexp_extract(url, '^[^/?#]*//[^/?#]*', 0) AS root, split_part(url, '//', 1) AS scheme, regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM targets
+),
+whole AS (
+  SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN scheme || target WHEN starts_with(target, '/') THEN root || target
+    ELSE regexp_replace(root || path, '^([^/]*//[^/]*(?:/.*)?)/[^/]*$', '\1') || '/' || target END AS target FROM placed
+),
+ends AS (SELECT CASE WHEN contains(url, '://') THEN split_part(url, '#', 1) END AS u, CASE WHEN contains(target, '://') THEN split_part(target, '#', 1) END AS v FROM whole),
+edges AS (SELECT u, v FROM ends WHERE u <> v UNION SELECT v, u FROM ends WHERE u <> v),
+reach AS (SELECT u AS node, u AS other FROM edges UNION SELECT node, v FROM reach JOIN edges ON other = u),
+urls AS (SELECT url FROM pages UNION SELECT u FROM edges),
+rests AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM urls),
 p AS (
-  SELECT page_id,
+  SELECT url,
     coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
-  FROM u
+  FROM rests
 ),
 r(rule_host, rule_path, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 fits AS (
-  SELECT page_id, host, path, rule_host || rule_path AS rule, action,
-    row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS n
+  SELECT url, host, path, rule_host || rule_path AS rule, action,
+    row_number() OVER (PARTITION BY url ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS n
   FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-)
-SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE n = 1
+),
+best AS (SELECT url, host, path, rule, action FROM fits WHERE n = 1),
+blocked AS (SELECT node FROM reach JOIN best ON other = url GROUP BY node HAVING bool_or(action = 'block') AND NOT coalesce(bool_or(action = 'allow'), FALSE))
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages JOIN best ON pages.url IS NOT DISTINCT FROM best.url LEFT JOIN blocked ON contains(pages.url, '://') AND node = split_part(pages.url, '#', 1)
 """
 
 _FAILED = ", ".join(f"CASE WHEN NOT ({t.part} / nullif({t.whole}, 0) BETWEEN {t.low} AND {t.high}) THEN '{t.name}' END" for t in THRESHOLDS)
