@@ -44,7 +44,7 @@ BLOCK_BYTES, BLOCK_DOCS = 256 << 10, 2_048
 #: Different pre-tokens whose ids a worker remembers.
 CACHE_PRE_TOKENS = 400_000
 #: Bytes of text encoded at a time: the more, the fewer times a word is looked up.
-ENCODED_BYTES = 16 << 20
+ENCODED_BYTES = 12 << 20
 
 BLOCK_SCHEMA = "shard int, block int, tokens_before long, first_doc_id long, last_doc_id long, dict_sha256 string, doc_ids array<long>, frame_starts array<int>, n_tokens array<int>, payload binary"
 
