@@ -22,7 +22,7 @@ import hashlib
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -41,10 +41,10 @@ from .sampling import one_row_each
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_024, 8_192, 64 << 10
 LEVEL = 3
 BLOCK_BYTES, BLOCK_DOCS = 256 << 10, 2_048
-#: Different pre-tokens whose ids a worker remembers.
-CACHE_PRE_TOKENS = 400_000
-#: Bytes of text encoded at a time: the more, the fewer times a word is looked up.
-ENCODED_BYTES = 12 << 20
+#: Different words, and as many pre-tokens, whose ids a worker remembers: some 40 bytes each.
+CACHE_WORDS = 700_000
+#: Bytes of text encoded at a time: the more, the fewer times words are looked up.
+ENCODED_BYTES = 8 << 20
 
 BLOCK_SCHEMA = "shard int, block int, tokens_before long, first_doc_id long, last_doc_id long, dict_sha256 string, doc_ids array<long>, frame_starts array<int>, n_tokens array<int>, payload binary"
 
@@ -74,11 +74,46 @@ def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, of: np.nda
     return flat[at], after
 
 
+class _Known:
+    """Strings, and the run of ids of each; looked up by Arrow, so none of them is a Python object."""
+
+    def __init__(self) -> None:
+        self.values: pa.Array | None = None
+        self.starts, self.counts, self.flat, self.used = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
+
+    def places(self, values: pa.Array, runs_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The place of each of values (different ones). runs_of gives the ids, one run after the other, and their numbers, of those not known yet."""
+        if self.values is None or len(self.values) + len(values) > CACHE_WORDS:
+            self.__init__()
+            self.values = pa.array([], values.type)
+        found = pc.index_in(values, value_set=self.values)
+        missing = pc.is_null(found)
+        places = pc.fill_null(found, 0).to_numpy().copy()
+        new = values.filter(missing)
+        if len(new):
+            have, need = len(self.values), len(self.values) + len(new)
+            ids, counts = runs_of(new)
+            if need > len(self.counts):
+                self.counts, self.starts = np.resize(self.counts, 2 * need), np.resize(self.starts, 2 * need)
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+            self.counts[have:need] = counts
+            self.starts[have:need] = self.used + np.cumsum(counts) - counts
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.values = pa.concat_arrays([self.values, new])
+            places[missing.to_numpy(zero_copy_only=False)] = np.arange(have, need)
+        return places
+
+    def gather(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _gather(self.flat[: self.used], self.starts, self.counts, of)
+
+
 class WordEncoder:
-    """Ids of many texts at once by the tokenizers library, each different pre-token once.
+    """Ids of many texts at once by the tokenizers library, each different word and pre-token once.
 
     Where a text is of Latin-1 characters alone, without odd white space, lower-casing, normalising and pre-tokenising are done for
-    its different words at a time (normalising changes nothing then) and the library's BPE model gets the pre-tokens. Any other text,
+    its different words that are not known yet (normalising changes nothing then) and the library's BPE model gets the pre-tokens. Any other text,
     any that holds an added token's name, and any text if the tokenizer is not of that make (``_MAKE``), goes through the library whole.
     """
 
@@ -101,47 +136,31 @@ class WordEncoder:
         self.known_make = made.get("normalizer") == self._MAKE["normalizer"] and steps[0].get("pattern") == self._MAKE["split"] and made["model"]["type"] == "BPE"
         self.added = [x["content"] for x in made.get("added_tokens", [])]
         self.letters = _byte_letters()
-        self._forget()
+        self.words, self.pre_tokens = _Known(), _Known()
 
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts, self.counts, self.flat, self.used = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
-
-    def _learn(self, pre_tokens: list[str]) -> None:
+    def _ids_of_pre_tokens(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        ids = [[t.id for t in tokenize(x.translate(letters))] for x in pre_tokens]
+        ids = [[t.id for t in tokenize(x.translate(letters))] for x in new.to_pylist()]
         counts = np.fromiter(map(len, ids), np.int32, len(ids))
-        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
-        have, need = len(self.place), len(self.place) + len(ids)
-        if need > len(self.counts):
-            self.counts, self.starts = np.resize(self.counts, 2 * need), np.resize(self.starts, 2 * need)
-        if self.used + len(new) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + len(new)))
-        self.counts[have:need] = counts
-        self.starts[have:need] = self.used + np.cumsum(counts) - counts
-        self.flat[self.used : self.used + len(new)] = new
-        self.used += len(new)
-        self.place.update(zip(pre_tokens, range(have, need)))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+    def _ids_of_words(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(new), self._PRE_TOKENS, "\\1 "), " ")
+        coded = pieces.values.dictionary_encode()
+        places = self.pre_tokens.places(coded.dictionary, self._ids_of_pre_tokens)
+        ids, after = self.pre_tokens.gather(places[coded.indices.to_numpy()])
+        return ids, np.diff(np.concatenate([np.zeros(1, np.int32), after])[pieces.offsets.to_numpy()])
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for white in "\n\t\r":
             texts = pc.replace_substring(texts, white, " ")
         split = pc.split_pattern(texts, " ")
         words = split.values.dictionary_encode()
-        pieces = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words.dictionary), self._PRE_TOKENS, "\\1 "), " ")
-        coded = pieces.values.dictionary_encode()
-        different = coded.dictionary.to_pylist()
         del texts
-        if len(self.place) + len(different) > CACHE_PRE_TOKENS:
-            self._forget()
-        if new := [x for x in different if x not in self.place]:
-            self._learn(new)
-        of = np.fromiter(map(self.place.__getitem__, different), np.int32, len(different))[coded.indices.to_numpy()]
-        flat, after = _gather(self.flat, self.starts, self.counts, of)
-        borders = np.concatenate([np.zeros(1, np.int32), after])[pieces.offsets.to_numpy()]  # of each word's ids
+        places = self.words.places(words.dictionary, self._ids_of_words)
         of, ends = words.indices.to_numpy(), split.offsets.to_numpy()
-        del words, split, pieces, coded
-        ids, after = _gather(flat, borders[:-1], np.diff(borders), of)
+        del words, split
+        ids, after = self.words.gather(places[of])
         return ids, np.concatenate([np.zeros(1, np.int32), after])[ends]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
