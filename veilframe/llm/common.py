@@ -122,6 +122,22 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def row_keys(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """docs with the keys of its rows, found (doc_id, k1, k2 and others) under names that docs doesn't have, and the condition that joins them."""
+    k1, k2 = (fresh(docs, k) for k in ("k1", "k2"))
+    docs = docs.withColumns(dict(zip((k1, k2), text_keys(F.col("text")))))
+    names = {c: fresh(docs, f"found_{c}") for c in found.columns}
+    found = found.withColumnsRenamed(names)
+    same = (F.col(k1) == F.col(names["k1"])) & (F.col(k2) == F.col(names["k2"])) & F.col("doc_id").eqNullSafe(F.col(names["doc_id"]))
+    return docs, found, same
+
+
+def without_rows(docs: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """The rows of docs that are not in found (doc_id, k1, k2), which is broadcast if it has at most so many rows."""
+    marked, found, same = row_keys(docs, bounded(found.select("doc_id", "k1", "k2"), most))
+    return marked.join(found, same, "left_anti").select(*every(docs))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() would also change other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, cut, every, fresh, let, text_keys
+from .common import ascii_lower, bounded, cut, every, fresh, let, row_keys, text_keys, without_rows
 
 WINDOW_WORDS = 13
 #: A document counts as contaminated from this share of hit words on: one in SHARE.
@@ -157,16 +157,6 @@ def _hit_docs(docs: DataFrame, benchmark: DataFrame, window: int, share: int, ma
     return found.select("doc_id", "k1", "k2", _verdict(F.col("n_words"), F.col("hits"), share).alias("verdict"))
 
 
-def _with_keys(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
-    """docs with the keys of its rows, found under names that docs doesn't have, and the condition that joins them."""
-    k1, k2 = (fresh(docs, k) for k in ("k1", "k2"))
-    docs = docs.withColumns(dict(zip((k1, k2), text_keys(F.col("text")))))
-    names = {c: fresh(docs, f"found_{c}") for c in found.columns}
-    found = found.withColumnsRenamed(names)
-    same = (F.col(k1) == F.col(names["k1"])) & (F.col(k2) == F.col(names["k2"])) & F.col("doc_id").eqNullSafe(F.col(names["doc_id"]))
-    return docs, found, same
-
-
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, share: int = SHARE, max_windows: int = MAX_WINDOWS, into: str = "verdict") -> DataFrame:
     """docs with the column verdict (it replaces one of that name): n_words, n_hit, items (sorted), spans (of hit words: first, until)
     and contaminated.
@@ -174,7 +164,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, sha
     contaminated: some word is hit, and share x n_hit >= n_words.
     """
     found = bounded(cut(_hit_docs(docs, benchmark, window, share, max_windows)), BROADCAST_DOCS)
-    marked, found, same = _with_keys(docs, found)
+    marked, found, same = row_keys(docs, found)
     verdict = next(c for c in found.columns if c.startswith("found_verdict"))
     clean = _verdict(F.size(words(F.col("text"))).cast("long"), F.expr("CAST(array() AS array<struct<pos:int,n:int,items:array<string>>>)"), share)
     return marked.join(found, same, "left").select(*every(docs, (into,)), F.coalesce(F.col(verdict), clean).alias(into))
@@ -183,8 +173,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, sha
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, share: int = SHARE, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without the contaminated ones."""
     found = _hit_docs(docs, benchmark, window, share, max_windows).filter("verdict.contaminated").select("doc_id", "k1", "k2")
-    marked, found, same = _with_keys(docs, bounded(cut(found), BROADCAST_DOCS))
-    return marked.join(found, same, "left_anti").select(*every(docs))
+    return without_rows(docs, cut(found), BROADCAST_DOCS)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **settings: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, with_fields
+from .common import cut, map_arrow, slices, text_keys, with_fields, without_rows
 from .sampling import chosen_ids, one_row_each
 
 #: The sample: at most so many rows of each language, of at most so many characters; and so many rows in all, but LEAST_ROWS of each language.
@@ -42,6 +42,8 @@ REJECTED_SHARE, MAX_THRESHOLD = 0.0, 0.3
 #: Known subwords: of so many characters at least, told apart by so many bits of their hash. A text is rejected if its share of them is under
 #: KNOWN_PART of the share that all but KNOWN_OUTLIERS of the calibrating rows with a right prediction reach.
 KNOWN_CHARS, KNOWN_BITS, KNOWN_PART, KNOWN_OUTLIERS = 3, 22, 1 / 3, 0.005
+#: Rejected rows up to this number are broadcast (some 60 bytes each) to the documents; more are joined by a shuffle.
+BROADCAST_REJECTED = 200_000
 #: Subwords looked up at a time.
 LOOKED_UP = 1 << 17
 UNDETERMINED = "und"
@@ -232,12 +234,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs whose language is not rejected, with all their columns."""
-    place = [c.lower() for c in docs.columns].index("text")
+    """The rows of docs whose language is not rejected, with all their columns. Python gets the texts and gives back the keys of what it rejects."""
+    rows = docs.select("doc_id", "text", *text_keys(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, batch.schema.names[place]):
-                yield part.filter(pa.array(~_verdicts(part.column(place), model)[2]))
+            for part in slices(batch, "text"):
+                rejected = pa.array(_verdicts(part.column("text"), model)[2])
+                yield pa.record_batch([part.column(k).filter(rejected) for k in ("doc_id", "k1", "k2")], names=["doc_id", "k1", "k2"])
 
-    return map_arrow(docs, run, docs.schema)
+    rejected = map_arrow(rows, run, with_fields(docs.select("doc_id"), "k1 long, k2 long")).distinct()
+    return without_rows(docs, cut(rejected), BROADCAST_REJECTED)

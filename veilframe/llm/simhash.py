@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, every, fresh, map_arrow, slices, text_keys, with_fields
+from .common import bounded, cut, every, map_arrow, row_keys, slices, text_keys, with_fields, without_rows
 from .graph import connected_components
 
 SHINGLE_WORDS, DISTANCE_BITS, SEGMENTS = 3, 3, 8
@@ -137,46 +137,37 @@ def links(classes: DataFrame, distance: int = DISTANCE_BITS, segments: int = SEG
     return _pairs(rows.join(large, "key", "left_anti"), distance, segments).unionByName(_stars(crowd, distance)).distinct()
 
 
-def _labelled(marked: DataFrame, distance: int, segments: int) -> tuple[DataFrame, DataFrame]:
-    """class_fp, label (the least fp that links reach) and component_id (the least doc_id that they reach) of each fp that some row with a
-    doc_id has, and whether it is linked to others: the linked ones, and all."""
-    classes = cut(marked.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+def _classes(marked: DataFrame, keep: Column, distance: int, segments: int) -> DataFrame:
+    """class_fp and least of each fp that some row with a doc_id has: the least keep of all such rows whose fp links reach from it."""
+    classes = cut(marked.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min(keep).alias("own")))
     found = connected_components(links(classes.select(F.col("fp").alias("rep"), "fp"), distance, segments))
-    named = classes.join(found, F.col("fp") == F.col("node")).select("fp", "rep", "component")
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    linked = cut(named.join(least, "component").select(F.col("fp").alias("class_fp"), F.col("component").alias("label"), F.col("least").alias("component_id")))
-    alone = classes.join(linked, F.col("fp") == F.col("class_fp"), "left_anti").select(F.col("fp").alias("class_fp"), F.col("fp").alias("label"), F.col("rep").alias("component_id"))
-    return linked, linked.unionByName(alone)
+    named = classes.join(found, F.col("fp") == F.col("node")).select("fp", "own", "component")
+    least = named.groupBy("component").agg(F.min("own").alias("least"))
+    linked = cut(named.join(least, "component").select(F.col("fp").alias("class_fp"), "least"))
+    alone = classes.join(linked, F.col("fp") == F.col("class_fp"), "left_anti").select(F.col("fp").alias("class_fp"), F.col("own").alias("least"))
+    return linked.unionByName(alone)
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE_BITS, segments: int = SEGMENTS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id that links reach from it, itself included) of every row of docs."""
     marked = cut(fingerprints(docs, shingle))
-    _, classes = _labelled(marked, distance, segments)
-    return marked.join(classes, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", "component_id")
+    classes = _classes(marked, F.col("doc_id"), distance, segments)
+    return marked.join(classes, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE_BITS, segments: int = SEGMENTS) -> DataFrame:
     """docs with one document of each component, the one with the least doc_id (of those with one id, the one with the least fingerprint
     and hashes of its text; of equal rows one). Rows of one doc_id in different components all stay, and so do rows without doc_id."""
     marked = cut(fingerprints(docs, shingle))
-    labelled = marked.filter("doc_id IS NOT NULL").join(_labelled(marked, distance, segments)[1], F.col("fp") == F.col("class_fp"))
-    rows = labelled.groupBy("label", "doc_id", "fp", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    best = rows.groupBy("label").agg(F.min(F.struct("doc_id", "fp", "k1", "k2")).alias("best"))
-    rows = cut(rows.join(best, "label").select("doc_id", "k1", "k2", "copies", (F.struct("doc_id", "fp", "k1", "k2") == F.col("best")).alias("stays")))
-    names = {c: fresh(docs, f"dup_{c}") for c in ("doc_id", "k1", "k2")}
-    own = text_keys(F.col("text"))
-
-    def same(found: DataFrame) -> tuple[DataFrame, Column]:
-        found = found.select(*(F.col(c).alias(name) for c, name in names.items()))
-        return found, (F.col("doc_id") == F.col(names["doc_id"])) & (own[0] == F.col(names["k1"])) & (own[1] == F.col(names["k2"]))
-
-    kept = docs.join(*same(bounded(rows.filter("NOT stays"), BROADCAST_DUPLICATES)), "left_anti")
-    repeated = rows.filter("stays AND copies > 1")
+    row = F.struct("doc_id", "fp", "k1", "k2")
+    named = marked.filter("doc_id IS NOT NULL").join(_classes(marked, row, distance, segments), F.col("fp") == F.col("class_fp"))
+    named = cut(named.select("doc_id", "k1", "k2", (row == F.col("least")).alias("stays")))
+    kept = without_rows(docs, named.filter("NOT stays").distinct(), BROADCAST_DUPLICATES)
+    repeated = named.filter("stays").groupBy("doc_id", "k1", "k2").count().filter("count > 1").select("doc_id", "k1", "k2")
     if repeated.isEmpty():
         return kept
     # Of rows that are equal in doc_id and text all but one go.
-    again, on = same(bounded(repeated, BROADCAST_DUPLICATES))
-    k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
-    once = kept.join(again, on, "left_semi").withColumns({k1: own[0], k2: own[1]}).dropDuplicates(["doc_id", k1, k2]).select(*every(docs))
-    return kept.join(again, on, "left_anti").unionByName(once)
+    marked, again, same = row_keys(kept, repeated)
+    keys = ["doc_id", *marked.columns[-2:]]
+    once = marked.join(bounded(again, BROADCAST_DUPLICATES), same, "left_semi").dropDuplicates(keys).select(*every(docs))
+    return without_rows(kept, repeated, BROADCAST_DUPLICATES).unionByName(once)
