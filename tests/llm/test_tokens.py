@@ -42,6 +42,7 @@ def test_byte_bpe_is_the_librarys_at_any_chunk_size(spark, library, chunk, overl
     encoded = byte_bpe.encode(frame(spark, texts), RANKS, PATTERN, chunk, overlap)
     rows = {r["doc_id"]: r for r in byte_bpe.decode(encoded, RANKS, PATTERN).collect()}
     assert len(rows) == len(texts)
+    assert sorted(map(str, byte_bpe.round_trip(frame(spark, texts), RANKS, PATTERN, chunk, overlap).collect())) == sorted(map(str, rows.values()))
     for i, text in enumerate(texts):
         assert rows[i]["ids"] == library.encode_ordinary(text or ""), (i, text)
         assert bytes(rows[i]["bytes"]) == (text or "").encode()

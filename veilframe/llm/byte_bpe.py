@@ -95,10 +95,10 @@ def encoder(ranks_path: str, pattern: str) -> PieceEncoder:
     return PieceEncoder(ranks_path, pattern)
 
 
-def _with_ids(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """docs with ids in place of the columns text and until (if there is one; see PieceEncoder.encode)."""
+def _with_ids(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """docs with ids, and if decoded bytes, in place of the columns text and until (if there is one; see PieceEncoder.encode)."""
     kept = [c for c in docs.columns if c not in ("text", "until")]
-    schema = with_fields(docs.select(*kept), "ids array<int>")
+    schema = with_fields(docs.select(*kept), "ids array<int>, bytes binary" if decoded else "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
@@ -107,7 +107,10 @@ def _with_ids(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             for part in slices(batch, "text"):
                 untils = part.column("until").to_pylist() if "until" in part.schema.names else [None] * part.num_rows
                 ids = [encode(text, until) if text else [] for text, until in zip(part.column("text").to_pylist(), untils)]
-                yield pa.record_batch([*(part.column(k) for k in kept), pa.array(ids, pa.list_(pa.int32()))], names=[*kept, "ids"])
+                made = [pa.array(ids, pa.list_(pa.int32()))]
+                if decoded:
+                    made.append(pa.array(list(map(bpe.decode, ids)), pa.binary()))
+                yield pa.record_batch([*(part.column(k) for k in kept), *made], names=[*kept, *("ids", "bytes")[: len(made)]])
         bpe.known.clear()
 
     return map_arrow(docs, run, schema)
@@ -149,11 +152,21 @@ def _seams(chunks: DataFrame, ranks_path: str, pattern: str, chunk_chars: int, o
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """doc_id and ids (array of int) of every row of docs; see the module for the defined cases."""
+    return _encode(docs, ranks_path, pattern, chunk_chars, overlap_chars, False)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """decode(encode(docs)): doc_id, ids and bytes of every row of docs. What is encoded in one piece is decoded by the same Python worker, so that no
+    task has two at a time."""
+    return _encode(docs, ranks_path, pattern, chunk_chars, overlap_chars, True)
+
+
+def _encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int, overlap_chars: int, decoded: bool) -> DataFrame:
     if overlap_chars <= MARGIN_CHARS or chunk_chars <= overlap_chars:
         raise ValueError("needs chunk_chars > overlap_chars > MARGIN_CHARS")
     docs = docs.select("doc_id", "text")
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
-    short = _with_ids(docs.filter(~is_long), ranks_path, pattern)
+    short = _with_ids(docs.filter(~is_long), ranks_path, pattern, decoded)
 
     chunks = _chunks(docs.filter(is_long), chunk_chars, overlap_chars)
     seams = chunks.join(_seams(chunks, ranks_path, pattern, chunk_chars, overlap_chars), CHUNK)
@@ -165,11 +178,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CH
     in_order = F.array_sort(F.collect_list(F.struct("k", "ids")))
     stitched = _with_ids(pieces, ranks_path, pattern).groupBy("doc_id", "digest").agg(F.max("copies").alias("copies"), F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
     stitched = stitched.select("doc_id", "ids", again.alias("copy")).drop("copy")
+    if decoded:
+        stitched = decode(stitched, ranks_path, pattern)
 
     in_order = F.array_sort(F.collect_list(F.struct("k", F.substring("text", 1, chunk_chars).alias("text"))))
     unsynced = seams.filter("NOT synced").groupBy("doc_id", "digest").agg(F.max("copies").alias("copies"), F.array_join(F.transform(in_order, lambda x: x["text"]), "").alias("text"))
     unsynced = unsynced.select("doc_id", "text", again.alias("copy")).select("doc_id", "text")
-    return short.unionByName(stitched).unionByName(_with_ids(unsynced, ranks_path, pattern))
+    return short.unionByName(stitched).unionByName(_with_ids(unsynced, ranks_path, pattern, decoded))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

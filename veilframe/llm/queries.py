@@ -29,8 +29,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
-    decoded = byte_bpe.decode(encoded, RANKS, PATTERN)
+    decoded = byte_bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
