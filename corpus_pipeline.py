@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text that the ids decode to."""
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
+    decoded = byte_bpe.round_trip(docs, RANKS, PATTERN)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("bytes", "utf-8").alias("text"))
 
 
