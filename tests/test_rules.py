@@ -186,7 +186,7 @@ def test_what_a_text_needs_loses_no_finding(spark):
     shapes = [lambda: f"AKC{make(b, 12)}", lambda: f"x = 'AKIA{make('ABCDEF0123', 16)}'", lambda: f"AWS_secret_key = \"{make(b, 40)}\"", lambda: f"'{make(b, 30)}'", lambda: f"AccountKey={make(b, 88)}"]
     shapes += [lambda: f"CloudAnt_pw = {make(h, 64)}", lambda: f"https://u:{make(h, 64)}@a.CLOUDANT.com", lambda: f"gho_{make(b, 36)}", lambda: f"IAM_key='{make(b, 44)}'", lambda: f"cos_hmac_SECRET_access_key = {make(h, 48)}"]
     shapes += [lambda: f"{make(h, 32)}-us{rng.randrange(30)}", lambda: f"//r.io/:_authToken=npm_{make(b, 8)}", lambda: f"SG.{make(b, 22)}.{make(b, 43)}", lambda: f"xoxb-1-{make(b, 9)}", lambda: f"https://hooks.slack.com/services/T{make(b, 5)}/B{make(b, 5)}/{make(b, 9)}"]
-    shapes += [lambda: f"SoftLayer_api_key: {make(h, 64)}", lambda: f"SL-token='{make(h, 64)}'", lambda: f"rk_live_{make(b, 24)}", lambda: f"SK{make(h, 32)}", lambda: f"M{make(b, 23)}.{make(b, 6)}.{make(b, 27)}", lambda: "nothing"]
+    shapes += [lambda: f"SoftLayer_api_key: {make(h, 64)}", lambda: f"SL-token='{make(h, 64)}'", lambda: f"http://api.softlayer.com/soap/v3/{make(h, 64)}", lambda: f"rk_live_{make(b, 24)}", lambda: f"SK{make(h, 32)}", lambda: f"M{make(b, 23)}.{make(b, 6)}.{make(b, 27)}", lambda: "nothing"]
     df = frame(spark, [f"line\n{shape()} end" for shape in shapes for _ in range(6)])
     plain = tuple(p._replace(needs=()) for p in plugins.PLUGINS)
     rows = df.select("text", plugins.plugin_values(F.col("text")).alias("a"), plugins.plugin_values(F.col("text"), plain).alias("b")).collect()

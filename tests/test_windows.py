@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import gibberish
 from veilframe.operators import windows
+from veilframe.plans import Settings, scan
 
 LABELS = ["O", "B-NAME", "I-NAME", "B-KEY", "I-KEY"]
 MODEL = gibberish.from_counts({a: {b: 10 for b in gibberish.LETTERS} for a in gibberish.LETTERS}, gibberish.LETTERS, limit=0.0)
@@ -142,3 +143,99 @@ def test_library_tokens_with_a_prefix_space(spark, tmp_path, prefix_space):
     got = {r["doc_id"]: r for r in windows.library_tokens(df, path, **({} if prefix_space else {"prefix_space": False})).collect()}
     assert {i: r["input_ids"] for i, r in got.items()} == {1: [257 if prefix_space else 256, 257], 2: [257], 3: []}
     assert [tuple(x) for x in got[1]["offset_mapping"]] == [(0, 2), (2, 5)]
+
+
+def varint(n):
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def field(number, value):
+    """A protocol-buffer field: a number, or bytes with their length."""
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def classifier_file(path, table):
+    """An ONNX file made by hand: logits are the rows of table that input_ids names; attention_mask is read, and changes nothing."""
+    tensor = field(1, table.shape[0]) + field(1, table.shape[1]) + field(2, 1) + field(8, b"table") + field(9, table.astype("<f4").tobytes())
+    node = lambda op, inputs, out, *attributes: b"".join(field(1, x) for x in inputs) + field(2, out) + field(4, op) + b"".join(field(5, a) for a in attributes)
+    value = lambda name, kind, dims: field(1, name) + field(2, field(1, field(1, kind) + field(2, b"".join(field(1, field(2, d) if isinstance(d, bytes) else field(1, d)) for d in dims))))
+    nodes = [
+        node(b"Gather", [b"table", b"input_ids"], b"rows"),
+        node(b"Cast", [b"attention_mask"], b"mask", field(1, b"to") + field(3, 1) + field(20, 2)),
+        node(b"Sub", [b"mask", b"mask"], b"zero"),
+        node(b"ReduceSum", [b"zero"], b"none", field(1, b"keepdims") + field(3, 0) + field(20, 2)),
+        node(b"Add", [b"rows", b"none"], b"logits"),
+    ]
+    graph = b"".join(field(1, n) for n in nodes) + field(2, b"g") + field(5, tensor)
+    graph += field(11, value(b"input_ids", 7, [b"n", b"t"])) + field(11, value(b"attention_mask", 7, [b"n", b"t"])) + field(12, value(b"logits", 1, [b"n", b"t", table.shape[1]]))
+    path.write_bytes(field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13)))
+
+
+def test_a_model_in_an_onnx_file(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    rng = np.random.default_rng(3)
+    table = rng.normal(0, 2, (1 << 9, len(LABELS)))
+    classifier_file(tmp_path / "model.onnx", table)
+    backend = windows.OnnxBackend(str(tmp_path / "model.onnx"), LABELS)
+    parts = [[1, 2, 3], [4], [5, 6]]
+    for part, got in zip(parts, backend.predict(parts)):
+        powers = np.exp(table[part])
+        assert got == pytest.approx(powers / powers.sum(1, keepdims=True), abs=1e-5)
+    text = " ".join(f"word{i} Other{i * i}" for i in range(200))
+    tokenize = windows.WordTokens(lambda w: sum(map(ord, w)) % (1 << 9))
+    df = spark.createDataFrame([(1, 0, text), (2, 0, ""), (3, 0, None)], "doc_id long, segment_no int, text string")
+    found = windows.model_findings(df, backend, MODEL, tokenize, window_size=32, overlap=8, batch_size=4).collect()
+    best = [LABELS[int(table[i].argmax())] for i in tokenize([text])[0][0]]
+    words = text.split(" ")
+    expected = [(kind, " ".join(words[a : b + 1])) for kind, a, b in spelled_by_hand(best)]
+    kept = [(k, v) for k, v in expected if len(v) > 3 and (k == "KEY" and len(v) > 8 or k == "NAME" and " " in v)]
+    assert sorted((r["tag"], r["value"]) for r in found) == sorted(kept) and len(kept) > 20
+
+
+def test_a_model_in_a_folder(spark, tmp_path):
+    import json
+
+    pytest.importorskip("onnxruntime")
+    tokenizers = pytest.importorskip("tokenizers")
+    made = tokenizers.Tokenizer(tokenizers.models.WordLevel({"[CLS]": 0, "[SEP]": 1, "[UNK]": 2, "Ann": 3, "Lee": 4, "met": 5}, "[UNK]"))
+    made.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+    made.post_processor = tokenizers.processors.TemplateProcessing("[CLS] $A [SEP]", special_tokens=[("[CLS]", 0), ("[SEP]", 1)])
+    made.save(str(tmp_path / "tokenizer.json"))
+    (tmp_path / "config.json").write_text(json.dumps({"id2label": {str(i): x for i, x in enumerate(LABELS)}}))
+    table = np.zeros((8, len(LABELS)))
+    table[:, 0], table[3, 1], table[4, 2] = 1, 9, 9
+    classifier_file(tmp_path / "model.onnx", table)
+    model = windows.from_folder(str(tmp_path))
+    assert model["backend"].labels == LABELS and (model["first"], model["last"]) == (0, 1)
+    df = spark.createDataFrame([(1, 0, "a.txt", "so Ann Lee met")], "doc_id long, segment_no int, filename string, text string")
+    found = scan(df, Settings(MODEL, home_directory="/x/nobody9", **model)).collect()
+    assert [(r["start"], r["end"], r["type"], r["text"]) for r in found] == [(3, 10, "NAME", "Ann Lee")]
+    assert windows.from_folder(str(tmp_path), "fp16")["backend"].path.endswith("model_fp16.onnx") and model["backend"].path.endswith("/model.onnx")
+    with pytest.raises(ValueError):
+        windows.from_folder(str(tmp_path), "fp8")
+    (tmp_path / "config.json").write_text(json.dumps({"id2label": {"1": "O"}}))
+    with pytest.raises(ValueError):
+        windows.from_folder(str(tmp_path))
+
+
+def test_a_text_of_many_words(spark):
+    import time
+
+    df = spark.createDataFrame([(1, 0, "word and " * 100_000)], "doc_id long, segment_no int, text string")
+    windows.model_findings(df.limit(0), windows.FakeBackend(LABELS), MODEL).count()
+    began = time.perf_counter()
+    assert windows.model_findings(df, windows.FakeBackend(["O", "B-NAME"]), MODEL, window_size=64, batch_size=64).count() >= 0
+    assert time.perf_counter() - began < 60
+    labels = ["O", "B-NAME", "I-NAME", "E-NAME", "S-KEY", "B-KEY", "I-KEY", "."]
+    rng = random.Random(8)
+    rows = [[rng.choice(labels) for _ in range(rng.randint(0, 14))] for _ in range(200)]
+    tagged = spark.createDataFrame([(i, 0, p, x, 0.5) for i, r in enumerate(rows) for p, x in enumerate(r)], "doc_id long, segment_no int, pos int, label string, p double")
+    got = {}
+    for r in windows.entities(tagged).collect():
+        got.setdefault(r["doc_id"], []).append((r["type"], r["first"], r["last"]))
+    for i, r in enumerate(rows):
+        assert sorted(got.get(i, []), key=lambda x: x[1]) == list(windows._runs(r)), r

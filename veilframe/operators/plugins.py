@@ -54,6 +54,7 @@ PLUGINS = (
     Plugin("SlackDetector", r"(xox(?:a|b|p|o|s|r)-(?:\d+-)+[a-zA-Z0-9]+)", needs=("xox",)),
     Plugin("SlackWebhook", r"(https://hooks\.slack\.com/services/T[a-zA-Z0-9_]+/B[a-zA-Z0-9_]+/[a-zA-Z0-9_]+)", kind="SlackDetector", needs=("hooks.slack.com",)),
     Plugin("SoftlayerDetector", r"(?i)(?:softlayer|sl)[_\-]?(?:api)?[_\-]?(?:key|pwd|password|pass|token)['\"]?\s{0,3}(?:=|:|:=|=>)\s{0,3}['\"]?([a-z0-9]{64})(?![a-z0-9])", needs=("softlayer", "sl"), folded=True),
+    Plugin("SoftlayerUrl", r"(?i)https?://api\.softlayer\.com/soap/v3(?:\.1)?/([a-z0-9]{64})", kind="SoftlayerDetector", needs=("api.softlayer.com",), folded=True),
     Plugin("StripeDetector", r"((?:r|s)k_live_[0-9a-zA-Z]{24})", needs=("k_live_",)),
     Plugin("TwilioKeyDetector", r"((?:AC|SK)[a-z0-9]{32})(?![a-z0-9])", needs=("AC", "SK")),
 )

@@ -57,15 +57,19 @@ def _long_key_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else [{"value": m.group(1), "start": m.start(1), "end": m.end(1)} for m in pattern.finditer(t)])
 
 
-def raw_key_spans(text: Column) -> Column:
-    """Key-shaped spans. Texts with unbroken runs on which Java would recurse too deeply go to Python's regex module."""
+def raw_key_spans(text: Column, long_runs: bool = True) -> Column:
+    """Key-shaped spans. Texts with unbroken runs on which Java would recurse too deeply go to Python's regex module; without long_runs they
+    have none, and the plan stays within the JVM."""
     is_long = (F.length(text) >= 1_000) & text.rlike(patterns.LONG_RUN)
+    short = F.when(text.rlike(patterns.KEY_NEEDS), extract(text, patterns.KEY_QUICK, "KEY"))
+    if not long_runs:
+        return F.coalesce(F.when(~is_long, short), no_spans())
     by_python = F.transform(_long_key_spans(F.when(is_long, text)), lambda x: span("KEY", x["value"], x["start"], x["end"]))
-    return F.coalesce(F.when(is_long, by_python).when(text.rlike(patterns.KEY_NEEDS), extract(text, patterns.KEY_QUICK, "KEY")), no_spans())
+    return F.coalesce(F.when(is_long, by_python).otherwise(short), no_spans())
 
 
-def key_spans(text: Column, model: BigramModel) -> Column:
-    return F.filter(raw_key_spans(text), lambda x: model.is_gibberish(F.lower(x["value"]))).alias("key_spans")
+def key_spans(text: Column, model: BigramModel, long_runs: bool = True) -> Column:
+    return F.filter(raw_key_spans(text, long_runs), lambda x: model.is_gibberish(F.lower(x["value"]))).alias("key_spans")
 
 
 def home_name_spans(text: Column, home_directory: str | None = None) -> Column:

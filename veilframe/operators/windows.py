@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
@@ -107,6 +108,35 @@ class LibraryTokens(NamedTuple):
         return [(x.ids, x.offsets) for x in _tokenizer(self.path, self.prefix_space).encode_batch(texts, add_special_tokens=False)]
 
 
+#: The file of each precision in a model's folder.
+PRECISIONS = {"fp32": "model.onnx", "fp16": "model_fp16.onnx"}
+
+
+def _model_file(folder: str, precision: str) -> str:
+    if precision not in ("auto", *PRECISIONS):
+        raise ValueError(f"precision must be auto or one of {tuple(PRECISIONS)}, not {precision!r}")
+    if precision != "auto":
+        return f"{folder}/{PRECISIONS[precision]}"
+    import onnxruntime
+
+    on_gpu = "CUDAExecutionProvider" in onnxruntime.get_available_providers()
+    half = f"{folder}/{PRECISIONS['fp16']}"
+    return half if on_gpu and os.path.exists(half) else f"{folder}/{PRECISIONS['fp32']}"
+
+
+def from_folder(folder: str, precision: str = "auto") -> dict:
+    """backend, tokenize, first and last of the model in a folder that every executor has: an ONNX file, config.json, whose id2label are the
+    labels, and tokenizer.json, whose special tokens about an empty text are the boundary tokens. precision: which ONNX file; auto is half
+    precision on a GPU, if there is a file of it, and single precision else."""
+    with open(f"{folder}/config.json", encoding="utf-8") as f:
+        by_id = {int(k): v for k, v in json.load(f)["id2label"].items()}
+    if sorted(by_id) != list(range(len(by_id))):
+        raise ValueError(f"id2label of {folder} leaves ids out")
+    about = _tokenizer(f"{folder}/tokenizer.json", True).encode("", add_special_tokens=True).ids
+    first, last = (about[0], about[-1]) if len(about) >= 2 else (0, 0)
+    return {"backend": OnnxBackend(_model_file(folder, precision), [by_id[k] for k in sorted(by_id)]), "tokenize": LibraryTokens(f"{folder}/tokenizer.json"), "first": first, "last": last}
+
+
 Tokenize = Callable[[list[str]], list[tuple[list[int], list[tuple[int, int]]]]]
 
 

@@ -23,7 +23,7 @@ TAGS = ("EMAIL", "IP_ADDRESS", "KEY", "NAME")
 
 class Settings(NamedTuple):
     """What a scan uses. tags: what the rule-based branch looks for. Without a backend there is no model branch, without a tokenizer words
-    are its tokens."""
+    are its tokens; first and last are the ids of its boundary tokens. ``Settings(model, **from_folder(path))`` takes all four from a folder."""
 
     gibberish: BigramModel
     key_detector: KeyDetector = "detect-secrets"
@@ -34,6 +34,8 @@ class Settings(NamedTuple):
     window_size: int = 512
     window_overlap: int = 0
     batch_size: int = 1
+    first: int = 0
+    last: int = 0
     tags: tuple[str, ...] = TAGS
 
 
@@ -60,7 +62,7 @@ def with_spans(texts: DataFrame, settings: Settings) -> DataFrame:
     found = F.when(is_blank(F.col("text")), no_spans()).otherwise(rule_findings(F.col("text"), settings, suffix(F.col("filename"))))
     if settings.backend is None:
         return texts.withColumn("spans", merge_spans(found))
-    both = model_spans(texts, settings.backend, settings.gibberish, settings.tokenize, settings.window_size, settings.window_overlap, settings.batch_size)
+    both = model_spans(texts, settings.backend, settings.gibberish, settings.tokenize, settings.window_size, settings.window_overlap, settings.batch_size, settings.first, settings.last)
     entities = F.when(is_blank(F.col("text")), no_spans()).otherwise(spans_of(F.col("entities")))
     return both.withColumn("spans", merge_spans(found, entities)).drop("entities")
 

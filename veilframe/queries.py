@@ -135,6 +135,7 @@ def token_shapes() -> dict[str, tuple[str, ...]]:
         "jwt": ("Bearer eyJhbGciOiJIUzI1NiJ9.eyJuIjoxfQ.", "m[1:20]"), "jwt_not_json": ("Bearer eyJub3RqdHM.eyJub3RqdHM.", "m[1:20]"), "mailchimp": ("h[1:32]", "-us5"), "mailchimp_three_digits": ("h[1:32]", "-us123"),
         "npm": ("//r.example.com/:_authToken=npm_", "m[1:36]"), "npm_uuid": ("//r.example.com/:_authToken=", "h[1:8]", "-", "h[9:12]", "-", "h[13:16]", "-", "h[17:20]", "-", "h[21:32]"),
         "sendgrid": ("SG.", "m[1:22]", ".", "m[1:43]"), "slack": ("xoxb-123-", "m[1:24]"), "slack_hook": ("https://hooks.slack.com/services/T", "m[1:8]", "/B", "m[2:9]", "/", "m[1:24]"), "softlayer": ("sl_api_key = ", "h[1:64]"),
+        "softlayer_url": ("see https://API.softlayer.com/soap/v3.1/", "h[1:64]"), "softlayer_other_url": ("see https://api.softlayer.com/rest/v3/", "h[1:64]"),
         "stripe": ("sk_live_", "m[1:24]"), "stripe_test": ("sk_test_", "m[1:24]"), "twilio": ("SK", "h[9:40]"), "twilio_long": ("SK", "h[9:41]"),
         "uuid": ('k = "', "h[1:8]", "-", "h[9:12]", "-", "h[13:16]", "-", "h[17:20]", "-", "h[21:32]", '"'), "identifier": ('user_id = "', "h[1:40]", '"'), "sequence": ('k = "0123456789abcdef"',), "two": ("'", "h[1:40]", "' and '", "h[3:42]", "' and '", "h[1:40]", "'"), "none": ("sha ", "h[1:19]"),
     }
