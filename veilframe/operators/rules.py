@@ -60,12 +60,13 @@ def _long_key_spans(texts: pd.Series) -> pd.Series:
 def raw_key_spans(text: Column, long_runs: bool = True) -> Column:
     """Key-shaped spans. Texts with unbroken runs on which Java would recurse too deeply go to Python's regex module; without long_runs they
     have none, and the plan stays within the JVM."""
+    needed = text.rlike(patterns.KEY_NEEDS)
     is_long = (F.length(text) >= 1_000) & text.rlike(patterns.LONG_RUN)
-    short = F.when(text.rlike(patterns.KEY_NEEDS), extract(text, patterns.KEY_QUICK, "KEY"))
+    short = extract(text, patterns.KEY_QUICK, "KEY")
     if not long_runs:
-        return F.coalesce(F.when(~is_long, short), no_spans())
-    by_python = F.transform(_long_key_spans(F.when(is_long, text)), lambda x: span("KEY", x["value"], x["start"], x["end"]))
-    return F.coalesce(F.when(is_long, by_python).otherwise(short), no_spans())
+        return F.coalesce(F.when(needed & ~is_long, short), no_spans())
+    by_python = F.transform(_long_key_spans(F.when(needed & is_long, text)), lambda x: span("KEY", x["value"], x["start"], x["end"]))
+    return F.coalesce(F.when(needed, F.when(is_long, by_python).otherwise(short)), no_spans())
 
 
 def key_spans(text: Column, model: BigramModel, long_runs: bool = True) -> Column:
