@@ -36,6 +36,22 @@ def test_queries_match_their_sql(spark):
             assert rows(got, columns) == rows(expected, columns), name
 
 
+def test_entities_of_a_text_of_many_words_match_their_sql(spark, tmp_path):
+    import duckdb
+
+    from veilframe.queries import QUERIES
+    from veilframe.sql import ORACLES
+
+    texts = [(7, "ab c def " * 20_000), (8, "a bc"), (9, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, expected = QUERIES["bio_entities"](spark, str(tmp_path)).toPandas(), base.execute(ORACLES["bio_entities"]).df()
+    columns = sorted(got.columns)
+    assert got["last"].max() > 46_340  # its square is past 32 bits
+    assert rows(got, columns) == rows(expected, columns)
+
+
 def test_the_rest_stands_without_the_corpus_subpackage(tmp_path):
     import shutil
 
