@@ -67,6 +67,16 @@ def test_one_mail_in_a_line_of_code(spark):
         rules.rule_spans(F.col("text"), MODEL, "other")
 
 
+def test_mails_that_share_a_delimiter_are_whole(spark):
+    """A delimiter is only looked at, so that it serves the mail before it and the one after it."""
+    a, b = "anna.12@mail1.example.com", "bert.34@mail2.example.com"
+    between = [" ", "\n", ",", ";", "@", ": ", ". ", "\u00a0", "\u3000", "\x0b"]
+    found = spans(frame(spark, [f"to{x}{a}{x}{b}{x}on" for x in between]), rules.email_spans(F.col("text")))
+    for i, x in enumerate(between):
+        first, second = 2 + len(x), 2 + 2 * len(x) + len(a)
+        assert found[i] == [("EMAIL", a, first, first + len(a)), ("EMAIL", b, second, second + len(b))], repr(x)
+
+
 def test_address_filters(spark):
     far = "x" * 300
     cases = {
