@@ -243,11 +243,13 @@ def entities(tagged: DataFrame) -> DataFrame:
     after E and S.
     """
     order = Window.partitionBy(*KEYS).orderBy("pos")
-    prefix, kind = F.substring_index("label", "-", 1), F.when(F.contains("label", F.lit("-")), F.expr("substring(label, instr(label, '-') + 1)")).otherwise("_")
-    rows = tagged.select(*KEYS, "pos", "p", F.substring(prefix, 1, 1).alias("prefix"), kind.alias("type"))
-    rows = rows.withColumns({"before": F.coalesce(F.lag("prefix").over(order), F.lit("O")), "type_before": F.lag("type").over(order)})
-    opens = F.col("prefix").isin("B", "S") | F.col("before").isin("E", "S", "O", ".") | (F.col("type") != F.col("type_before"))
-    rows = rows.filter(~F.col("prefix").isin("O", ".")).withColumn("opens", opens.cast("int"))
+    prefix = lambda label: F.substring(F.substring_index(label, "-", 1), 1, 1)
+    kind = lambda label: F.when(F.contains(label, F.lit("-")), F.substring(label, F.instr(label, "-") + 1, F.length(label))).otherwise("_")
+    # What a label says is read off after the shuffle, which so carries one string a token.
+    rows = tagged.select(*KEYS, "pos", "label", "p").withColumn("label_before", F.lag("label").over(order))
+    label, before = F.col("label"), F.col("label_before")
+    opens = prefix(label).isin("B", "S") | F.coalesce(prefix(before), F.lit("O")).isin("E", "S", "O", ".") | (kind(label) != kind(before))
+    rows = rows.filter(~prefix(label).isin("O", ".")).select(*KEYS, "pos", "p", kind(label).alias("type"), opens.cast("int").alias("opens"))
     rows = rows.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*KEYS, "run", "type").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.avg("p").alias("score")).drop("run")
 

@@ -271,9 +271,11 @@ def best_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bio_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs over labels, with all prefixes, that the words of whole texts give."""
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(2))  # where they stand is not asked
     pos = F.col("pos").cast("long")
-    n = (F.col("doc_id") * 31 + pos * pos * 7 + F.length("x.value")) % len(ALL_LABELS)
-    tagged = _words(spark, sf_dir).select("doc_id", F.lit(0).alias("segment_no"), "pos", F.get(F.array(*map(F.lit, ALL_LABELS)), n.cast("int")).alias("label"), (F.col("pos") + 1).cast("double").alias("p"))
+    n = (F.col("doc_id") * 31 + pos * pos * 7 + F.length("word")) % len(ALL_LABELS)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(words).alias("pos", "word")).filter("word IS NOT NULL")
+    tagged = rows.select("doc_id", F.lit(0).alias("segment_no"), "pos", F.get(F.array(*map(F.lit, ALL_LABELS)), n.cast("int")).alias("label"), (F.col("pos") + 1).cast("double").alias("p"))
     return windows.entities(tagged).select("doc_id", "type", "first", "last", F.round("score", 9).alias("score"))
 
 
